@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cumulo.llm import secrets
+from cumulo.llm import quality, secrets
 from cumulo.session import read_table
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op4_secret_scan": op4_secret_scan,
 }
 
