@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cumulo.llm import quality, secrets
+from cumulo.llm import quality, secrets, simhash
 from cumulo.session import read_table
 
 
@@ -17,9 +17,14 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read_table(spark, sf_dir, "documents"))
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op4_secret_scan": op4_secret_scan,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 ORACLE_SQL = {
