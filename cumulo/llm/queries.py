@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cumulo.llm import bpe, quality, secrets, simhash
+from cumulo.llm import bpe, quality, secrets, simhash, toxicity
 from cumulo.session import read_table
 
 
@@ -17,6 +17,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.flagged(docs, toxicity.learn(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"))
 
@@ -28,6 +33,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op4_secret_scan": op4_secret_scan,
+    "op7_toxicity": op7_toxicity,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
