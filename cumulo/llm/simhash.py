@@ -41,7 +41,7 @@ from cumulo.session import cut
 BITS, TAU = 64, 8
 PARTITION_COUNTS = (2, 3, 4, 5, 6)
 #: Cost of a written key and of a joined candidate, in the same unit: a key is shuffled and sorted on either side.
-KEY_COST, CANDIDATE_COST = 10.0, 1.0
+KEY_COST, CANDIDATE_COST = 40.0, 1.0
 MAX_THRESHOLD = 4
 WORD = re.compile(r"\w+")
 
