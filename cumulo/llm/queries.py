@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cumulo.llm import bpe, quality, secrets, simhash, toxicity
+from cumulo.llm import bpe, mixing, quality, secrets, simhash, toxicity
 from cumulo.session import read_table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    domains = mixing.label_domains(read_table(spark, sf_dir, "labels"))
+    model = mixing.fit(docs, domains, len(mixing.DOMAINS))
+    return mixing.rates(docs, model, [mixing.TARGETS[d] for d in mixing.DOMAINS])
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
@@ -31,6 +38,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_secret_scan": op4_secret_scan,
     "op7_toxicity": op7_toxicity,
