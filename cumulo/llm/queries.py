@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cumulo.llm import bpe, mixing, quality, secrets, simhash, toxicity
+from cumulo.llm import bpe, mixing, parsing, quality, secrets, simhash, toxicity
 from cumulo.session import read_table
 
 
@@ -24,6 +24,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read_table(spark, sf_dir, "documents"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.flagged(docs, toxicity.learn(docs, read_table(spark, sf_dir, "labels")))
@@ -41,6 +45,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_secret_scan": op4_secret_scan,
+    "op6_fingerprints": op6_fingerprints,
     "op7_toxicity": op7_toxicity,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
