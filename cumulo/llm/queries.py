@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cumulo.llm import bpe, mixing, parsing, quality, secrets, simhash, toxicity
+from cumulo.llm import bpe, chat, mixing, parsing, quality, secrets, sharding, simhash, topk, toxicity
 from cumulo.session import read_table
 
 
@@ -20,10 +21,18 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_copies(read_table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read_table(spark, sf_dir, "documents"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(read_table(spark, sf_dir, "conversations"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.fingerprints(read_table(spark, sf_dir, "documents"))
 
@@ -37,6 +46,11 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.top_k(read_table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "rank", F.col("neighbor").alias("neighbor_id"), F.round("score", 6).alias("score"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -44,13 +58,19 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_sharding": op3_sharding,
     "op4_secret_scan": op4_secret_scan,
+    "op5_chat_format": op5_chat_format,
     "op6_fingerprints": op6_fingerprints,
     "op7_toxicity": op7_toxicity,
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op9_exact_top_k": op9_exact_top_k,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 ORACLE_SQL = {
+    "op3_sharding": sharding.oracle_sql(),
     "op4_secret_scan": secrets.oracle_sql(),
+    "op5_chat_format": chat.ORACLE_SQL,
+    "op9_exact_top_k": topk.ORACLE_SQL,
 }
