@@ -4,8 +4,9 @@ The centroids (C x F numbers) are the only state, on the driver. Memberships fol
 aggregation over the cached points: it computes the memberships under the last and the last but one centroids, and
 returns the weighted sums and the change of the memberships. Nothing is written per iteration and no lineage grows.
 
-Two physical forms, chosen by C x F: flat columns inside whole-stage code generation, or numpy on Arrow batches for
-wide matrices. Both send C x F + C + 1 numbers per task to the final aggregation.
+Two physical forms: numpy on Arrow batches (the default), or flat columns inside whole-stage code generation. Both send
+C x F + C + 1 numbers per task to the final aggregation, and a pass over the same rows takes about as long in either; but
+the flat form has the centroids as literals, so its code is compiled anew in each iteration (about a second).
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from cumulo.operators.init import Start
 
 FUZZINESS, EPSILON, MAX_ITERATIONS = 2.0, 1e-5, 150
 MIN_DISTANCE, MIN_WEIGHT = 1e-10, 1e-10
-#: Above so many products C x F an iteration runs in numpy instead of generated code.
+#: Above so many products C x F memberships are computed in numpy even where they are computed once, as generated code gets too long.
 FLAT_LIMIT = 64
 
 Centroids = list[list[float]]
@@ -162,18 +163,20 @@ def _arrow_step(points: DataFrame, new: Centroids | None, old: Centroids | None,
 # --- the loop -----------------------------------------------------------------------------------------------------
 
 
-def fit(points: DataFrame, start: Start, m: float = FUZZINESS, epsilon: float = EPSILON, max_iterations: int = MAX_ITERATIONS) -> FcmResult:
+def fit(points: DataFrame, start: Start, m: float = FUZZINESS, epsilon: float = EPSILON, max_iterations: int = MAX_ITERATIONS, form: str = "arrow") -> FcmResult:
     """Start's memberships give the first centroids; then memberships, change and centroids until the change is below epsilon.
 
     The points are cached for the loop, as every iteration reads them; a block lost with its executor is recomputed.
     """
+    if form not in ("arrow", "flat"):
+        raise ValueError(f"unknown form {form!r}")
     if m <= 1.0:
         raise ValueError("the fuzziness must be above 1")
     n, c = width(points), start.clusters
     if n == 0:
         raise ValueError("there are no points")
     own = start.apply(points.select("row_id", "x", *[k for k in points.columns if k == start.label]))
-    if n * c <= FLAT_LIMIT:
+    if form == "flat":
         cached = flat(own.select("row_id", "x", *[F.col("u0")[j].alias(f"u0_{j}") for j in range(c)]), n).persist(StorageLevel.MEMORY_AND_DISK)
         step = _flat_step
     else:

@@ -35,17 +35,25 @@ ENTITIES = Settings(500, 5, 0.85, "pieces", (1, 2), ())
 
 
 def tokens(text: Column, settings: Settings) -> Column:
-    """The terms of a text in order: tokens without stop words, then their n-grams."""
+    """The tokens of a text in order, without stop words."""
     found = words(text) if settings.analyzer == "words" else pieces(text)
     if settings.stop_words:
-        stop = F.array(*[F.lit(w) for w in settings.stop_words])
-        found = F.filter(found, lambda t: ~F.array_contains(stop, t))
-    return ngram_range(found, *settings.ngrams)
+        found = F.filter(found, lambda t: ~t.isin(*settings.stop_words))
+    return found
+
+
+def terms(docs: DataFrame, settings: Settings) -> DataFrame:
+    """(doc_id, term), a row per occurrence: tokens and their n-grams.
+
+    The tokens are a projection of their own: inside the n-grams' loop the text would be split anew for each place.
+    """
+    split = docs.select("doc_id", tokens(F.col("text"), settings).alias("tokens"))
+    return split.select("doc_id", F.explode(ngram_range(F.col("tokens"), *settings.ngrams)).alias("term"))
 
 
 def term_counts(docs: DataFrame, settings: Settings) -> DataFrame:
     """(doc_id, term, tf)."""
-    return docs.select("doc_id", F.explode(tokens(F.col("text"), settings)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return terms(docs, settings).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 def term_stats(counts: DataFrame) -> DataFrame:

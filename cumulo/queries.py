@@ -1,6 +1,562 @@
-"""Registry of the clustering and feature queries: name -> callable, name -> DuckDB SQL."""
+"""Registry of the clustering and feature queries: name -> callable, name -> DuckDB SQL.
+
+Every query runs over its whole tables. The SQL of the iterative ones is the same computation with its loop unrolled.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cumulo.functions.text import clean, truncate
+from cumulo.functions.vectors import clean_zero, points_from
+from cumulo.operators import corpus, entities, fcm, metrics, normalise, profile, tfidf
+from cumulo.operators import init as starts
+from cumulo.plans import clustering
+from cumulo.session import read_table
+from cumulo.sources import synthetic
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+C, STEPS = 4, 12
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- feature tables ---------------------------------------------------------------------------------------------------
+
+
+def part_points(spark: SparkSession, sf: str) -> DataFrame:
+    return points_from(read_table(spark, sf, "part"), "p_partkey", ["p_size", "p_retailprice"])
+
+
+def customer_points(spark: SparkSession, sf: str) -> DataFrame:
+    return points_from(read_table(spark, sf, "customer"), "c_custkey", ["c_acctbal", "c_nationkey"])
+
+
+def supplier_points(spark: SparkSession, sf: str) -> DataFrame:
+    return points_from(read_table(spark, sf, "supplier"), "s_suppkey", ["s_acctbal", "s_nationkey"])
+
+
+def order_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Four features of each order's lines."""
+    lines = read_table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("p"), F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t")
+    )
+    return points_from(lines, "l_orderkey", ["q", "p", "d", "t"])
+
+
+def embedding_points(spark: SparkSession, sf: str) -> DataFrame:
+    e = read_table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("x"), "label")
+
+
+def scaled_part(spark: SparkSession, sf: str) -> DataFrame:
+    return normalise.normalize_minmax(part_points(spark, sf)).withColumn("domain_label", starts.index_label(C))
+
+
+def long(points: DataFrame) -> DataFrame:
+    """(row_id, f, v) at six decimals."""
+    return points.select("row_id", F.posexplode("x").alias("f", "v")).select("row_id", "f", clean_zero(F.col("v")).alias("v"))
+
+
+PART = "part_x AS (SELECT p_partkey AS row_id, CAST(p_size AS DOUBLE) AS x0, CAST(p_retailprice AS DOUBLE) AS x1 FROM part)"
+CUSTOMER = "cust_x AS (SELECT c_custkey AS row_id, CAST(c_acctbal AS DOUBLE) AS x0, CAST(c_nationkey AS DOUBLE) AS x1 FROM customer)"
+SUPPLIER = "supp_x AS (SELECT s_suppkey AS row_id, CAST(s_acctbal AS DOUBLE) AS x0, CAST(s_nationkey AS DOUBLE) AS x1 FROM supplier)"
+ORDER = "ord_x AS (SELECT l_orderkey AS row_id, sum(l_quantity) AS x0, sum(l_extendedprice) AS x1, avg(l_discount) AS x2, avg(l_tax) AS x3 FROM lineitem GROUP BY l_orderkey)"
+
+
+def _long_sql(table: str, n: int = 2) -> str:
+    return " UNION ALL ".join(f"SELECT row_id, {f} AS f, round(x{f}, 6) + 0.0 AS v FROM {table}" for f in range(n))
+
+
+def _minmax_sql(table: str, n: int, out: str) -> str:
+    cols = ", ".join(f"CASE WHEN max(x{f}) OVER () - min(x{f}) OVER () < 1e-15 THEN 0.0 ELSE (x{f} - min(x{f}) OVER ()) / (max(x{f}) OVER () - min(x{f}) OVER ()) END AS x{f}" for f in range(n))
+    return f"{out} AS MATERIALIZED (SELECT row_id, {cols} FROM {table})"
+
+
+def _l2_sql(table: str, n: int, out: str) -> str:
+    length = "sqrt(" + " + ".join(f"x{f} * x{f}" for f in range(n)) + ")"
+    return f"{out} AS (SELECT row_id, " + ", ".join(f"x{f} / CASE WHEN {length} < 1e-15 THEN 1.0 ELSE {length} END AS x{f}" for f in range(n)) + f" FROM {table})"
+
+
+def _idf_sql(table: str, n: int, out: str, threshold: str = "0.0") -> str:
+    return f"{out} AS (SELECT row_id, " + ", ".join(f"x{f} * ln(count(*) OVER () / (1.0::DOUBLE + sum(CASE WHEN x{f} > {threshold} THEN 1 ELSE 0 END) OVER ())) AS x{f}" for f in range(n)) + f" FROM {table})"
+
+
+# --- scaling ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {PART}, {_l2_sql('part_x', 2, 'y')} {_long_sql('y')}")
+def norm_l2(spark: SparkSession, sf: str) -> DataFrame:
+    return long(normalise.normalize_l2(part_points(spark, sf)))
+
+
+@query(f"WITH {PART}, {_minmax_sql('part_x', 2, 'y')} {_long_sql('y')}")
+def norm_minmax(spark: SparkSession, sf: str) -> DataFrame:
+    return long(normalise.normalize_minmax(part_points(spark, sf)))
+
+
+@query(
+    f"WITH {CUSTOMER}, y AS (SELECT row_id, "
+    + ", ".join(f"CASE WHEN stddev_pop(x{f}) OVER () < 1e-15 THEN 0.0 ELSE (x{f} - avg(x{f}) OVER ()) / stddev_pop(x{f}) OVER () END AS x{f}" for f in range(2))
+    + f" FROM cust_x) {_long_sql('y')}"
+)
+def norm_zscore(spark: SparkSession, sf: str) -> DataFrame:
+    return long(normalise.normalize_zscore(customer_points(spark, sf)))
+
+
+@query(f"WITH {SUPPLIER}, {_idf_sql('supp_x', 2, 'y')} {_long_sql('y')}")
+def weight_idf(spark: SparkSession, sf: str) -> DataFrame:
+    return long(normalise.weight_idf(supplier_points(spark, sf)))
+
+
+@query(f"WITH {CUSTOMER}, {_idf_sql('cust_x', 2, 'w')}, {_l2_sql('w', 2, 'y')} {_long_sql('y')}")
+def idf_then_l2(spark: SparkSession, sf: str) -> DataFrame:
+    return long(normalise.prepare(customer_points(spark, sf), "l2", True))
+
+
+_EMB = "e AS (SELECT vec_id AS row_id, unnest(generate_series(0, len(embedding) - 1)) AS f, CAST(unnest(embedding) AS DOUBLE) AS v, label FROM embeddings)"
+
+
+@query(
+    f"WITH {_EMB}, n AS (SELECT row_id, sqrt(sum(v * v)) AS len FROM e GROUP BY row_id) "
+    "SELECT e.row_id, CAST(f AS INTEGER) AS f, round(v / CASE WHEN len < 1e-15 THEN 1.0 ELSE len END, 6) + 0.0 AS v FROM e JOIN n USING (row_id)"
+)
+def norm_l2_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    return long(normalise.normalize_l2(embedding_points(spark, sf)))
+
+
+# --- profile ----------------------------------------------------------------------------------------------------------
+
+_STATS = (
+    f"WITH {_EMB}, s AS (SELECT CAST(f AS INTEGER) AS f, count(*) AS n, avg(v) AS mean, var_pop(v) AS var, CAST(sum(CASE WHEN v > 1e-10 THEN 1 ELSE 0 END) AS BIGINT) AS df FROM e GROUP BY f)"
+)
+
+
+def _rounded_profile(df: DataFrame) -> DataFrame:
+    return df.select("f", clean_zero(F.col("mean")).alias("mean"), clean_zero(F.col("var"), 9).alias("var"), "df", F.round("df_pct", 6).alias("df_pct"))
+
+
+_PROFILE_COLS = "f, round(mean, 6) + 0.0 AS mean, round(var, 9) + 0.0 AS var, df, round(100.0 * df / n, 6) AS df_pct"
+
+
+@query(
+    f"WITH {ORDER}, e AS (" + " UNION ALL ".join(f"SELECT {f} AS f, x{f} AS v FROM ord_x" for f in range(4)) + "), "
+    "s AS (SELECT f, count(*) AS n, avg(v) AS mean, var_pop(v) AS var, CAST(sum(CASE WHEN v > 1e-10 THEN 1 ELSE 0 END) AS BIGINT) AS df FROM e GROUP BY f) "
+    "SELECT f, round(mean, 4) + 0.0 AS mean, round(var / (1 + abs(mean)), 2) + 0.0 AS rel_var, df, round(100.0 * df / n, 6) AS df_pct FROM s"
+)
+def feature_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the orders' features. The variance is set against the mean, as prices give it more digits than doubles sum alike."""
+    p = profile.feature_profile(order_points(spark, sf))
+    return p.select("f", clean_zero(F.col("mean"), 4).alias("mean"), clean_zero(F.col("var") / (F.lit(1.0) + F.abs("mean")), 2).alias("rel_var"), "df", F.round("df_pct", 6).alias("df_pct"))
+
+
+@query(
+    _STATS + " SELECT count(*) AS n_features, CAST(sum(CASE WHEN var < 1e-15 THEN 1 ELSE 0 END) AS BIGINT) AS dead, CAST(sum(CASE WHEN var < 1e-4 THEN 1 ELSE 0 END) AS BIGINT) AS low_variance, "
+    "CAST(sum(CASE WHEN var >= 1e-15 THEN 1 ELSE 0 END) AS BIGINT) AS active, CAST(sum(CASE WHEN df / n < 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS rare, "
+    "round(min(var), 9) AS min_var, round(max(var), 9) AS max_var, round(avg(var), 9) AS mean_var FROM s"
+)
+def feature_imbalance_summary(spark: SparkSession, sf: str) -> DataFrame:
+    r = profile.imbalance(embedding_points(spark, sf))
+    return r.withColumns({c: F.round(c, 9) for c in ("min_var", "max_var", "mean_var")})
+
+
+@query(_STATS + f" SELECT {_PROFILE_COLS} FROM s ORDER BY var DESC, f LIMIT 5")
+def top_var_features(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded_profile(profile.top_variance(embedding_points(spark, sf)))
+
+
+@query(_STATS + f" SELECT {_PROFILE_COLS} FROM s WHERE var >= 1e-15 ORDER BY var, f LIMIT 5".replace("round(var", "round(s.var").replace("ORDER BY var", "ORDER BY s.var"))
+def low_var_features(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded_profile(profile.low_variance(embedding_points(spark, sf)))
+
+
+ORACLE_SQL["top_var_features"] = ORACLE_SQL["top_var_features"].replace("ORDER BY var", "ORDER BY s.var")
+
+
+@query(
+    _STATS + " SELECT CAST(sum(CASE WHEN d / n < 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS rare, CAST(sum(CASE WHEN d / n > 0.80 THEN 1 ELSE 0 END) AS BIGINT) AS common "
+    "FROM (SELECT f, count(*) AS n, sum(CASE WHEN v > 0.0 THEN 1 ELSE 0 END) AS d FROM e GROUP BY f)"
+)
+def idf_imbalance_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([normalise.idf_imbalance(embedding_points(spark, sf))], "rare bigint, common bigint")
+
+
+@query(f"WITH {PART}, {_minmax_sql('part_x', 2, 'y')} SELECT round(min(least(x0, x1)), 6) AS lo, round(max(greatest(x0, x1)), 6) AS hi FROM y")
+def value_range_check(spark: SparkSession, sf: str) -> DataFrame:
+    points = normalise.normalize_minmax(part_points(spark, sf))
+    profile.check_range(points)
+    return profile.value_range(points).select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
+# --- clustering -------------------------------------------------------------------------------------------------------
+
+
+def _u_sql(n: int, c: int, suffix: str) -> str:
+    """The memberships of p under the centroids of cte c{suffix}."""
+    s = [" + ".join(f"(x{f} - c{j}_{f}) * (x{f} - c{j}_{f})" for f in range(n)) for j in range(c)]
+    inner = ", ".join(f"{s[j]} AS s{j}" for j in range(c))
+    hit = "CASE " + " ".join(f"WHEN s{j} < 1e-20 THEN {j}" for j in reversed(range(c))) + " ELSE -1 END"
+    u = ", ".join(f"CASE WHEN hit >= 0 THEN CASE WHEN hit = {j} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE 1.0 / (" + " + ".join(f"s{j} / CASE WHEN s{k} < 1e-20 THEN 1.0 ELSE s{k} END" for k in range(c)) + f") END AS u{j}" for j in range(c))
+    xs = ", ".join(f"x{f}" for f in range(n))
+    return f"SELECT row_id, {xs}, {u} FROM (SELECT *, {hit} AS hit FROM (SELECT row_id, {xs}, {inner} FROM p, c{suffix}))"
+
+
+def _c_sql(n: int, c: int, source: str) -> str:
+    return "SELECT " + ", ".join(f"sum(u{j} * u{j} * x{f}) / greatest(sum(u{j} * u{j}), 1e-10) AS c{j}_{f}" for j in range(c) for f in range(n)) + f" FROM {source}"
+
+
+def fcm_sql(points: str, table: str, n: int, c: int, steps: int, u0: str, tail: str, deltas: bool = False) -> str:
+    """points: CTEs that end in `table`; u0: the start's memberships as select items; tail: the final select over p, u{t}, c{t}, d{t}."""
+    xs = ", ".join(f"x{f}" for f in range(n))
+    ctes = [points, f"p AS MATERIALIZED (SELECT row_id, {xs} FROM {table})", f"u0 AS MATERIALIZED (SELECT row_id, {xs}, {u0} FROM p)", f"c0 AS MATERIALIZED ({_c_sql(n, c, 'u0')})"]
+    for t in range(1, steps + 1):
+        ctes += [f"u{t} AS MATERIALIZED ({_u_sql(n, c, str(t - 1))})", f"c{t} AS MATERIALIZED ({_c_sql(n, c, f'u{t}')})"]
+        if deltas:
+            square = " + ".join(f"(a.u{j} - b.u{j}) * (a.u{j} - b.u{j})" for j in range(c))
+            ctes.append(f"d{t} AS MATERIALIZED (SELECT {t} AS iter, sqrt(sum({square})) AS delta FROM u{t} a JOIN u{t - 1} b USING (row_id))")
+    return "WITH " + ",\n".join(ctes) + "\n" + tail
+
+
+def _domain_u0(c: int, label: str = "row_id") -> str:
+    rest = (1.0 - starts.DOMAIN_OWN) / (c - 1)
+    s = starts.DOMAIN_OWN + rest * (c - 1)
+    return ", ".join(f"CASE WHEN {label} % {c} = {j} THEN {starts.DOMAIN_OWN / s!r}::DOUBLE ELSE {rest / s!r}::DOUBLE END AS u{j}" for j in range(c))
+
+
+_SCALED_PART = f"{PART}, {_minmax_sql('part_x', 2, 'y')}"
+_LABEL = "CASE " + " ".join(f"WHEN u{j} >= greatest(u0, u1, u2, u3) THEN {j}" for j in range(C)) + " END"
+
+
+def _part_sql(steps: int, tail: str, deltas: bool = False) -> str:
+    return fcm_sql(_SCALED_PART, "y", 2, C, steps, _domain_u0(C), tail, deltas)
+
+
+def fit_part(spark: SparkSession, sf: str, steps: int = STEPS) -> tuple[DataFrame, fcm.FcmResult]:
+    points = scaled_part(spark, sf)
+    return points, fcm.fit(points, starts.Start("labels", C, label="domain_label"), epsilon=0.0, max_iterations=steps)
+
+
+def _centroid_rows(spark: SparkSession, points: DataFrame, result: fcm.FcmResult) -> DataFrame:
+    return fcm.centroid_table(points, result.centroids).select("j", "f", clean_zero(F.col("v")).alias("v"))
+
+
+def _centroid_tail(c: int, n: int, t: int) -> str:
+    return " UNION ALL ".join(f"SELECT {j} AS j, {f} AS f, round(c{j}_{f}, 6) + 0.0 AS v FROM c{t}" for j in range(c) for f in range(n))
+
+
+@query(_part_sql(STEPS, _centroid_tail(C, 2, STEPS)))
+def fcm_centroids_k12(spark: SparkSession, sf: str) -> DataFrame:
+    return _centroid_rows(spark, *fit_part(spark, sf))
+
+
+@query(_part_sql(STEPS, " UNION ALL ".join(f"SELECT row_id, {j} AS j, round(u{j}, 6) + 0.0 AS u FROM u{STEPS}" for j in range(C))))
+def fcm_membership_k12(spark: SparkSession, sf: str) -> DataFrame:
+    points, result = fit_part(spark, sf)
+    u = fcm.result_membership(points, result)
+    return u.select("row_id", F.posexplode("u").alias("j", "u")).select("row_id", "j", clean_zero(F.col("u")).alias("u"))
+
+
+@query(_part_sql(STEPS, " UNION ALL ".join(f"SELECT iter, round(delta, 6) AS delta FROM d{t}" for t in range(1, STEPS + 1)), True))
+def fcm_delta_history(spark: SparkSession, sf: str) -> DataFrame:
+    points, result = fit_part(spark, sf)
+    return fcm.history_table(points, result).select("iter", F.round("delta", 6).alias("delta"))
+
+
+@query(_part_sql(STEPS, f"SELECT row_id, {_LABEL} AS label FROM u{STEPS}"))
+def fcm_hard_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return fcm.labels(fcm.result_membership(*fit_part(spark, sf)))
+
+
+@query(_part_sql(STEPS, f"SELECT CAST(g.label AS INTEGER) AS label, count(l.label) AS n FROM generate_series(0, {C - 1}) g(label) LEFT JOIN (SELECT {_LABEL} AS label FROM u{STEPS}) l ON l.label = g.label GROUP BY g.label"))
+def fcm_cluster_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.sizes(*fit_part(spark, sf))
+
+
+@query(fcm_sql(f"{ORDER}, {_minmax_sql('ord_x', 4, 'y')}", "y", 4, C, 6, _domain_u0(C), _centroid_tail(C, 4, 6)))
+def fcm_orders_k6(spark: SparkSession, sf: str) -> DataFrame:
+    points = normalise.normalize_minmax(order_points(spark, sf)).withColumn("domain_label", starts.index_label(C))
+    return _centroid_rows(spark, points, fcm.fit(points, starts.Start("labels", C, label="domain_label"), epsilon=0.0, max_iterations=6))
+
+
+# --- starts -----------------------------------------------------------------------------------------------------------
+
+
+def _u0_rows(points: DataFrame, start: starts.Start) -> DataFrame:
+    return start.apply(points).select("row_id", F.posexplode("u0").alias("j", "u")).select("row_id", "j", F.round("u", 9).alias("u"))
+
+
+def _u0_tail(table: str = "u0", c: int = C) -> str:
+    return " UNION ALL ".join(f"SELECT row_id, {j} AS j, round(u{j}, 9) AS u FROM {table}" for j in range(c))
+
+
+@query(f"WITH u0 AS (SELECT p_partkey AS row_id, {_domain_u0(C, 'p_partkey')} FROM part) {_u0_tail()}")
+def init_domain_membership(spark: SparkSession, sf: str) -> DataFrame:
+    points = part_points(spark, sf).withColumn("domain_label", starts.index_label(C))
+    return _u0_rows(points, starts.Start("labels", C, label="domain_label"))
+
+
+@query(f"WITH {_EMB} SELECT CAST(label AS INTEGER) AS j, CAST(f AS INTEGER) AS f, round(avg(v), 6) + 0.0 AS v FROM e WHERE label BETWEEN 0 AND {C - 1} GROUP BY label, f")
+def init_domain_class_means(spark: SparkSession, sf: str) -> DataFrame:
+    return starts.class_means(embedding_points(spark, sf), "label", C).select("j", "f", clean_zero(F.col("v")).alias("v"))
+
+
+@query(f"WITH l AS (SELECT vec_id AS row_id, CASE WHEN label BETWEEN 0 AND {C - 1} THEN label ELSE 0 END AS k FROM embeddings), u0 AS (SELECT row_id, {_domain_u0(C, 'k')} FROM l) {_u0_tail()}")
+def init_domain_out_of_range(spark: SparkSession, sf: str) -> DataFrame:
+    """The embeddings' ten labels with four clusters: the others count as cluster 0."""
+    return _u0_rows(embedding_points(spark, sf), starts.Start("labels", C, label="label"))
+
+
+def _random_sql(c: int = C, seed: int = 42) -> str:
+    raw = ", ".join(f"((p_partkey % 4294967296) * {starts._A % 65537} + {(j * starts._B + seed) * 7919}) % 65521 AS r{j}" for j in range(c))
+    again = ", ".join(f"((r{j} * r{j} + {j * 31 + 7} * r{j} + {seed}) % 65521) / 65521.0::DOUBLE + 1e-9::DOUBLE AS h{j}" for j in range(c))
+    total = " + ".join(f"h{j}" for j in range(c))
+    return f"WITH a AS (SELECT p_partkey AS row_id, {raw} FROM part), b AS (SELECT row_id, {again} FROM a), u0 AS (SELECT row_id, " + ", ".join(f"h{j} / ({total}) AS u{j}" for j in range(c)) + f" FROM b) {_u0_tail()}"
+
+
+@query(_random_sql())
+def init_random_membership(spark: SparkSession, sf: str) -> DataFrame:
+    return _u0_rows(part_points(spark, sf), starts.Start("random", C))
+
+
+_R = 0.37
+
+
+@query(
+    f"WITH {SUPPLIER}, {_minmax_sql('supp_x', 2, 'y')}, s AS (SELECT x0 AS a, x1 AS b FROM y WHERE row_id = 1), "
+    f"d AS (SELECT row_id, (x0 - a) * (x0 - a) + (x1 - b) * (x1 - b) AS d2 FROM y, s), c AS (SELECT row_id, sum(d2) OVER (ORDER BY row_id ROWS UNBOUNDED PRECEDING) AS cs, sum(d2) OVER () AS total FROM d) "
+    f"SELECT coalesce(min(CASE WHEN cs >= {_R} * total THEN row_id END), max(row_id)) AS row_id FROM c"
+)
+def kmeanspp_seed_step(spark: SparkSession, sf: str) -> DataFrame:
+    """The second seed for a given draw, when the first is row 1."""
+    points = normalise.normalize_minmax(supplier_points(spark, sf))
+    first = tuple(points.where("row_id = 1").first()["x"])
+    pick = starts.sample_by_weight(points.select("row_id", starts.nearest_square(F.col("x"), [first]).alias("d2")), _R)
+    return spark.createDataFrame([(pick,)], "row_id bigint")
+
+
+_SEED_IDS = (1, 50, 100, 150)
+
+
+@query(
+    f"WITH {_SCALED_PART}, " + ", ".join(f"s{j} AS (SELECT x0 AS a{j}, x1 AS b{j} FROM y WHERE row_id = {i})" for j, i in enumerate(_SEED_IDS)) + ", d AS (SELECT row_id, "
+    + ", ".join(f"(x0 - a{j}) * (x0 - a{j}) + (x1 - b{j}) * (x1 - b{j}) AS d{j}" for j in range(C)) + " FROM y, s0, s1, s2, s3), n AS (SELECT row_id, CASE "
+    + " ".join(f"WHEN d{j} <= least(d0, d1, d2, d3) THEN {j}" for j in range(C)) + " END AS k FROM d), u0 AS (SELECT row_id, "
+    + ", ".join(f"CASE WHEN k = {j} THEN 0.7::DOUBLE ELSE 0.1::DOUBLE END AS u{j}" for j in range(C)) + f" FROM n) {_u0_tail()}"
+)
+def kmeanspp_membership(spark: SparkSession, sf: str) -> DataFrame:
+    points = scaled_part(spark, sf)
+    by_id = {r["row_id"]: tuple(r["x"]) for r in points.where(F.col("row_id").isin(*_SEED_IDS)).collect()}
+    return _u0_rows(points, starts.Start("seeds", C, seeds=tuple(by_id[i] for i in _SEED_IDS)))
+
+
+# --- metrics ----------------------------------------------------------------------------------------------------------
+
+_SIL = """
+WITH v AS (SELECT vec_id AS row_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+pr AS (SELECT a.row_id, a.label, b.label AS other, sum(list_distance(a.x, b.x)) AS total, count(*) AS n FROM v a JOIN v b ON a.row_id <> b.row_id GROUP BY ALL),
+ab AS (SELECT row_id, label, max(CASE WHEN other = label THEN total / n END) AS a, min(CASE WHEN other <> label THEN total / n END) AS b FROM pr GROUP BY ALL),
+s AS (SELECT row_id, label, CASE WHEN a IS NULL THEN 0.0 WHEN b IS NULL THEN 1.0 WHEN greatest(a, b) <= 1e-15 THEN 0.0 ELSE (b - a) / greatest(a, b) END AS s FROM ab)
+"""
+
+
+@query(_SIL + "SELECT count(*) AS n, round(avg(s), 6) AS silhouette FROM s")
+def silhouette_exact(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.silhouette_samples(embedding_points(spark, sf)).agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("silhouette"))
+
+
+@query(_SIL + "SELECT label, count(*) AS n, round(avg(s), 6) AS s FROM s GROUP BY label")
+def silhouette_per_cluster(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.silhouette_by_cluster(embedding_points(spark, sf)).withColumn("s", F.round("s", 6))
+
+
+_SCATTER = f"""
+l AS (SELECT row_id, x0, x1, {_LABEL} AS label FROM u{STEPS}),
+cs AS ({" UNION ALL ".join(f"SELECT {j} AS label, c{j}_0 AS a, c{j}_1 AS b FROM c{STEPS}" for j in range(C))}),
+sc AS (SELECT label, count(*) AS n, avg(sqrt((x0 - a) * (x0 - a) + (x1 - b) * (x1 - b))) AS scatter FROM l JOIN cs USING (label) GROUP BY label)
+"""
+_DB = """
+, r AS (SELECT i.label, max((i.scatter + j.scatter) / sqrt((ci.a - cj.a) * (ci.a - cj.a) + (ci.b - cj.b) * (ci.b - cj.b))) AS r
+  FROM sc i JOIN sc j ON i.label <> j.label JOIN cs ci ON ci.label = i.label JOIN cs cj ON cj.label = j.label GROUP BY i.label)
+"""
+
+
+def _labelled_part(spark: SparkSession, sf: str) -> tuple[DataFrame, fcm.FcmResult]:
+    points, result = fit_part(spark, sf)
+    return points.select("row_id", "x").join(fcm.labels(fcm.result_membership(points, result)), "row_id"), result
+
+
+@query(_part_sql(STEPS, "SELECT label, n, round(scatter, 6) AS scatter FROM sc").replace("\nSELECT label, n, round", ",\n" + _SCATTER.strip() + "\nSELECT label, n, round"))
+def cluster_scatter(spark: SparkSession, sf: str) -> DataFrame:
+    points, result = _labelled_part(spark, sf)
+    return metrics.scatter(points, result.centroids).withColumn("scatter", F.round("scatter", 6))
+
+
+@query(_part_sql(STEPS, "SELECT round(avg(r), 6) AS davies_bouldin FROM r").replace("\nSELECT round(avg(r)", ",\n" + _SCATTER.strip() + _DB + "SELECT round(avg(r)"))
+def davies_bouldin(spark: SparkSession, sf: str) -> DataFrame:
+    points, result = _labelled_part(spark, sf)
+    return spark.createDataFrame([(round(metrics.davies_bouldin(points, result.centroids), 6),)], "davies_bouldin double")
+
+
+@query(
+    _SIL + "SELECT row_id, CASE WHEN s > 0.70 THEN 'strong' WHEN s > 0.50 THEN 'reasonable' WHEN s > 0.25 THEN 'weak' ELSE 'none' END AS silhouette_band, "
+    "CASE WHEN s + 1 < 0.5 THEN 'excellent' WHEN s + 1 < 1.0 THEN 'good' WHEN s + 1 < 2.0 THEN 'moderate' ELSE 'poor' END AS db_band FROM s"
+)
+def metric_bands(spark: SparkSession, sf: str) -> DataFrame:
+    """Both sets of bands, over the spread of values that single points' scores have."""
+    s = metrics.silhouette_samples(embedding_points(spark, sf))
+    return s.select("row_id", metrics.silhouette_band(F.col("s")).alias("silhouette_band"), metrics.db_band(F.col("s") + F.lit(1.0)).alias("db_band"))
+
+
+@query()
+def strategy_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """All three strategies to convergence on the suppliers."""
+    return clustering.compare(normalise.normalize_minmax(supplier_points(spark, sf)), C)
+
+
+# --- text -------------------------------------------------------------------------------------------------------------
+
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in tfidf.STOP_WORDS)
+_TERMS = f"""
+d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND length(text) >= {corpus.MIN_CHARS}),
+tk AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda t: t NOT IN ({_STOP})) AS ts FROM d),
+cnt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM tk) GROUP BY ALL),
+st AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS ctf FROM cnt GROUP BY term),
+nd AS (SELECT count(*) AS n FROM d),
+vc AS (SELECT CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS feature_index, term AS feature_name, df FROM
+  (SELECT st.* FROM st, nd WHERE df >= {tfidf.PLAIN.min_df} AND df <= {tfidf.PLAIN.max_df} * n ORDER BY ctf DESC, term LIMIT {tfidf.PLAIN.max_features}))
+"""
+_WEIGHTS = """,
+w AS (SELECT doc_id, feature_index, (1.0 + ln(tf)) * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS w FROM cnt JOIN vc ON term = feature_name, nd)
+"""
+
+
+def kept_docs(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "documents").where(corpus.long_enough(F.col("text")))
+
+
+@query(f"WITH {_TERMS}{_WEIGHTS} SELECT doc_id, feature_index, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS w FROM w")
+def tfidf_plain(spark: SparkSession, sf: str) -> DataFrame:
+    return tfidf.tfidf(kept_docs(spark, sf))[0].withColumn("w", F.round("w", 6))
+
+
+@query(f"WITH {_TERMS} SELECT * FROM vc")
+def tfidf_vocab(spark: SparkSession, sf: str) -> DataFrame:
+    return tfidf.tfidf(kept_docs(spark, sf))[1]
+
+
+@query(f"WITH {_TERMS} SELECT * FROM st")
+def doc_freq(spark: SparkSession, sf: str) -> DataFrame:
+    return tfidf.term_stats(tfidf.term_counts(kept_docs(spark, sf), tfidf.PLAIN))
+
+
+@query(
+    "WITH tk AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\x0b\\f]+'), lambda t: t <> '') AS ts FROM documents WHERE text IS NOT NULL) "
+    "SELECT term, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1])) AS term FROM tk) GROUP BY term"
+)
+def bigram_counts(spark: SparkSession, sf: str) -> DataFrame:
+    settings = tfidf.Settings(analyzer="pieces", ngrams=(2, 2))
+    docs = read_table(spark, sf, "documents")
+    return tfidf.terms(docs, settings).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"WITH {_TERMS}, nz AS (SELECT count(*) AS nnz FROM cnt JOIN vc ON term = feature_name), f AS (SELECT count(*) AS f FROM vc) "
+    "SELECT n * f AS cells, n * f - nnz AS zeros, round(100.0 * (n * f - nnz) / (n * f), 6) AS sparsity_pct, round(nnz / n, 6) AS mean_nnz FROM nz, f, nd"
+)
+def feature_sparsity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = kept_docs(spark, sf)
+    weighted, vocab = tfidf.tfidf(docs)
+    points = tfidf.densify(docs, weighted, vocab.count())
+    return profile.sparsity(points).select("cells", "zeros", F.round("sparsity_pct", 6).alias("sparsity_pct"), F.round("mean_nnz", 6).alias("mean_nnz"))
+
+
+@query(
+    f"WITH {_TERMS}, pd AS (SELECT d.doc_id, count(feature_name) AS nnz FROM d LEFT JOIN cnt ON cnt.doc_id = d.doc_id LEFT JOIN vc ON term = feature_name GROUP BY d.doc_id), "
+    "mm AS (SELECT min(nnz) AS lo, max(nnz) AS hi FROM pd), b AS (SELECT least(CAST(floor((nnz - lo) * 40.0::DOUBLE / CASE WHEN hi = lo THEN 1 ELSE hi - lo END) AS INTEGER), 39) AS bin FROM pd, mm) "
+    "SELECT CAST(g.bin AS INTEGER) AS bin, count(b.bin) AS n FROM generate_series(0, 39) g(bin) LEFT JOIN b ON b.bin = g.bin GROUP BY g.bin"
+)
+def nnz_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    docs = kept_docs(spark, sf)
+    weighted, vocab = tfidf.tfidf(docs)
+    return profile.nonzero_histogram(tfidf.densify(docs, weighted, vocab.count()))
+
+
+_BODY = "length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 50"
+
+
+@query(
+    "SELECT doc_id, substring(regexp_replace(regexp_replace(regexp_replace(text, '\\b\\d+\\.?\\d*\\b', '', 'g'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g'), 1, 2000) AS text "
+    f"FROM documents WHERE text IS NOT NULL AND {_BODY}"
+)
+def text_clean(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").where(corpus.has_body(F.col("text")))
+    return docs.select("doc_id", truncate(clean(F.col("text"))).alias("text"))
+
+
+@query(
+    "SELECT count(*) AS n_rows, count(*) FILTER (text IS NULL) AS null_dropped, count(*) FILTER (length(text) < 100) AS short_dropped, "
+    f"count(*) FILTER (text IS NOT NULL AND NOT ({_BODY})) AS body_dropped, count(*) FILTER (length(text) >= 100) AS long_kept, count(*) FILTER (text IS NOT NULL AND {_BODY}) AS body_kept FROM documents"
+)
+def filter_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.filter_counts(read_table(spark, sf, "documents"))
+
+
+@query("SELECT count(*) AS n_docs, round(avg(length(text)), 6) AS mean_chars, CAST(min(length(text)) AS INTEGER) AS min_chars, CAST(max(length(text)) AS INTEGER) AS max_chars FROM documents WHERE text IS NOT NULL")
+def text_length_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.length_stats(read_table(spark, sf, "documents")).withColumn("mean_chars", F.round("mean_chars", 6))
+
+
+@query("SELECT source AS category, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source ORDER BY n DESC, category LIMIT 10")
+def category_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.top_categories(read_table(spark, sf, "documents"), 10, "source")
+
+
+@query("SELECT count(DISTINCT source) AS n_categories FROM documents")
+def category_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.category_count(read_table(spark, sf, "documents"), "source")
+
+
+@query()
+def entity_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return entities.entity_bags(read_table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query()
+def negation_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the vocabulary of the conversations' turns."""
+    turns = read_table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    bags = entities.entity_bags(turns).persist()
+    texts = entities.non_empty(bags).select("doc_id", F.array_join("tokens", " ").alias("text"))
+    return tfidf.negation_counts(tfidf.tfidf(texts, tfidf.ENTITIES)[1])
+
+
+# --- generator --------------------------------------------------------------------------------------------------------
+
+_N, _F = 400, 50
+_BANDS = f"""
+WITH RECURSIVE g AS (SELECT CAST(0 AS BIGINT) AS k, CAST(42 AS BIGINT) AS s UNION ALL SELECT k + 1, (s * 1664525 + 1013904223) % 4294967296 FROM g WHERE k < {_N * (_F + 1)}),
+r AS (SELECT (k - 1) // {_F + 1} AS row_id, (k - 1) % {_F + 1} AS at, s / 4294967295.0::DOUBLE AS r FROM g WHERE k > 0),
+gr AS (SELECT row_id, least(CAST(floor(r * {C}) AS INTEGER), {C - 1}) AS grp FROM r WHERE at = 0)
+SELECT CAST(row_id AS BIGINT) AS row_id, CAST(at - 1 AS INTEGER) AS f, grp,
+  round(greatest(0.0, least(1.0, CASE WHEN at - 1 >= grp * {_F // C} AND at - 1 < (grp + 1) * {_F // C} THEN 0.45::DOUBLE + 0.45::DOUBLE * r ELSE 0.12::DOUBLE * r END)), 9) AS v
+FROM r JOIN gr USING (row_id) WHERE at > 0
+"""
+
+
+@query(_BANDS)
+def synthetic_bands(spark: SparkSession, sf: str) -> DataFrame:
+    return synthetic.bands(spark, _N, _F, C).select("row_id", "grp", F.posexplode("x").alias("f", "v")).select("row_id", "f", "grp", F.round("v", 9).alias("v"))
