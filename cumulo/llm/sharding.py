@@ -37,20 +37,21 @@ def schedule(histogram: list[tuple[int, int]], shards: int) -> tuple[list[tuple[
             if size == 0:
                 phases.append((size, done, left, [heap[0][1]]))
                 done = count
-            elif left <= 2 * shards:
+                continue
+            order = sorted(heap)
+            level = [x for x in order if x < (order[0][0] + size, order[0][1])]
+            rounds = left // len(level)
+            if len(level) < shards:
+                rounds = min(rounds, -(-(order[len(level)][0] - level[-1][0]) // size))
+            if left <= 2 * shards or rounds == 0:
                 turns = []
-                for _ in range(left):
+                for _ in range(min(left, 2 * shards)):
                     load, j = heap[0]
                     heapq.heapreplace(heap, (load + size, j))
                     turns.append(j)
-                phases.append((size, done, left, turns))
-                done = count
+                phases.append((size, done, len(turns), turns))
+                done += len(turns)
             else:
-                order = sorted(heap)
-                level = [x for x in order if x < (order[0][0] + size, order[0][1])]
-                rounds = left // len(level)
-                if len(level) < shards:
-                    rounds = min(rounds, -(-(order[len(level)][0] - level[-1][0]) // size))
                 phases.append((size, done, rounds * len(level), [j for _, j in level]))
                 done += rounds * len(level)
                 heap = [(load + rounds * size, j) for load, j in level] + order[len(level) :]

@@ -1,0 +1,388 @@
+"""Operators whose results are exact: secrets, sharding, chat, parsing, BPE, top-k, SimHash."""
+
+import heapq
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cumulo.llm import bpe, chat, parsing, secrets, sharding, simhash, topk
+
+# --- secrets ---
+
+KEY = "AKIA" + "A1B2C3D4E5F6G7H8"
+TOKEN = 'token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"'
+
+
+def slow_findings(rows, rules=secrets.RULES):
+    return sorted((i, r.name, k + 1, m) for i, t in rows if t is not None for r in rules for k, m in enumerate(re.findall(r.pattern, t)))
+
+
+def test_secrets_equal_brute_force(spark):
+    rows = [(1, f"a {KEY} b"), (2, TOKEN), (3, f"{TOKEN}\n{TOKEN} {KEY}"), (4, "nothing"), (5, f"a {KEY} b"), (6, "https://u:hunter22@example.org/x"), (7, "-----BEGIN RSA PRIVATE KEY-----"), (8, "ghp_" + "a" * 36)]
+    found, _, _ = secrets.scan_incremental(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    got = sorted((r["path"], r["rule"], r["match_no"], r["secret"]) for r in found.collect())
+    assert got == slow_findings(rows) and len(got) >= 9
+
+
+def test_secrets_scan_only_what_is_unseen(spark):
+    docs = spark.createDataFrame([(1, f"a {KEY} b"), (2, f"a {KEY} b"), (3, TOKEN)], "doc_id bigint, text string")
+    assert secrets.unseen(docs, None).count() == 2
+    _, new, ledger = secrets.scan_incremental(docs)
+    ledger, known = ledger.cache(), new.cache()
+    assert secrets.unseen(docs, ledger).count() == 0
+    more = docs.unionByName(spark.createDataFrame([(4, f"a {KEY} b"), (5, "new " + TOKEN)], docs.schema))
+    assert [r["content"] for r in secrets.unseen(more, ledger).collect()] == ["new " + TOKEN]
+    found, new, _ = secrets.scan_incremental(more, ledger, known)
+    assert sorted(r["path"] for r in found.collect()) == [1, 2, 3, 4, 5] and new.count() == 1
+    changed = tuple(secrets.Rule(r.name, 2, r.pattern, r.literals) if r.name == "aws_access_key" else r for r in secrets.RULES)
+    todo = secrets.unseen(docs, ledger, changed).collect()
+    assert len(todo) == 2 and all(t["todo"] == [1] for t in todo)
+    found, _, _ = secrets.scan_incremental(docs, ledger, known, changed)
+    assert sorted((r["path"], r["rule_version"]) for r in found.collect()) == [(1, 2), (2, 2), (3, 1)]
+
+
+def test_secrets_edges(edges, no_docs):
+    got = secrets.report(edges).collect()
+    assert [r["doc_id"] for r in got] == [7]
+    clean = secrets.redact(edges)
+    assert clean.columns == edges.columns and clean.count() == edges.count()
+    row = clean.where("doc_id = 7").first()
+    assert row["text"] == 'token = "[SECRET:assigned_credential]" is here' and row["n_chars"] == len(row["text"])
+    assert clean.where("doc_id = 0").first()["n_chars"] == 38 and clean.where("text IS NULL").count() == 2
+    assert secrets.report(no_docs).count() == 0 and secrets.redact(no_docs).count() == 0
+
+
+# --- sharding ---
+
+
+def slow_lpt(sizes, shards):
+    heap, out = [(0, j) for j in range(shards)], []
+    for s in sizes:
+        load, j = heapq.heappop(heap)
+        out.append(j)
+        heapq.heappush(heap, (load + s, j))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_sharding_schedule_is_the_heaps(seed):
+    rng = random.Random(seed)
+    shards = rng.choice([1, 2, 3, 7, 16])
+    sizes = sorted((rng.choice([0, 1, 1, 1, 2, 3, 50, rng.randint(1, 1000)]) for _ in range(rng.choice([0, 5, 300, 2000]))), reverse=True)
+    histogram = [(s, sizes.count(s)) for s in sorted(set(sizes), reverse=True)]
+    phases, loads = sharding.schedule(histogram, shards)
+    got = [p[3][i % len(p[3])] for p in phases for i in range(p[2])]
+    assert got == slow_lpt(sizes, shards)
+    assert loads == [sum(s for s, j in zip(sizes, got) if j == k) for k in range(shards)]
+
+
+def test_sharding_edges(edges, no_docs, spark):
+    rows = sharding.shard_copies(edges, 3).collect()
+    assert len(rows) == edges.count()
+    by_id = {}
+    for r in rows:
+        by_id.setdefault(r["doc_id"], set()).add(r["shard"])
+    assert by_id[0] == by_id[1] and len(by_id[0]) == 1 and all(0 <= s < 3 for x in by_id.values() for s in x)
+    assert sharding.shard_copies(no_docs).count() == 0
+    odd = spark.createDataFrame([(1, None, -5), (2, None, None), (3, "a", 7)], "doc_id int, key string, size int")
+    assert {r["doc_id"]: r["shard"] for r in sharding.shard(odd, F.col("key"), F.col("size"), 2).collect()} == {3: 0, 1: 1, 2: 1}
+    with pytest.raises(ValueError):
+        sharding.schedule([], 0)
+
+
+# --- chat ---
+
+
+def render(template, **env):
+    return chat.compile_template(template, tuple(env))(env)
+
+
+@pytest.mark.parametrize(
+    "template, env, expected",
+    [
+        ("a{{ 1 + 2 * 3 }}b", {}, "a7b"),
+        ("{% for m in ms %}{{ loop.index }}{{ m.x }}{% if not loop.last %},{% endif %}{% endfor %}", {"ms": [{"x": "p"}, {"x": "q"}]}, "1p,2q"),
+        ("{% if a == 1 %}x{% elif a == 2 %}y{% else %}z{% endif %}", {"a": 2}, "y"),
+        ("{%- set y = a ~ '!' -%} {{ y | upper }}", {"a": "hi"}, "HI!"),
+        ("{{ a['b'] | default('none') | trim }}", {"a": {"b": None}}, "none"),
+        ("{{ 'x' if a in 'abc' else 'y' }}{{ a not in ['q'][0] if false else 'k' }}" if False else "{{ 'x' if a in 'abc' else 'y' }}", {"a": "b"}, "x"),
+        ("{# gone #}q {{- ' r ' | trim -}} s", {}, "qrs"),
+        ("{{ m[0].role }}{{ m[-1].role }}{{ m[5] }}", {"m": [{"role": "u"}, {"role": "v"}]}, "uv"),
+        ("{{ x | replace('a', 'b') | length }}{{ 7 // 2 }}{{ 7 % 4 }}{{ -3 + 1 }}", {"x": "banana"}, "633-2"),
+        ("{{ 'it\\'s' }}{{ \"\\n\" }}", {}, "it's\n"),
+    ],
+)
+def test_chat_language(template, env, expected):
+    assert render(template, **env)[0] == expected
+
+
+def test_chat_generation_spans():
+    text, spans = render("{% for m in ms %}<{{ m }}>{% generation %}{{ m | upper }}🙂{% endgeneration %}{% endfor %}", ms=["ab", "c"])
+    assert [text[a:b] for a, b in spans] == ["AB🙂", "C🙂"]
+
+
+@pytest.mark.parametrize("bad", ["{{ x }}", "{{ 'a'.upper() }}", "{% for a in b %}", "{% endif %}", "{{ 1 | eval }}", "{% import os %}", "{{ 1 + }}", "{{ __import__('os') }}", "{% if 1 %}{% endfor %}"])
+def test_chat_refuses(bad):
+    with pytest.raises(chat.TemplateError):
+        chat.compile_template(bad, ("ms",))
+
+
+def test_chat_sandbox():
+    for t in ("{{ ms.__class__ }}", "{{ 'a'['__class__'] }}", "{{ 'a' * 1000000 }}"):
+        with pytest.raises(chat.TemplateError):
+            render(t, ms=[])
+
+
+def test_chat_folding_keeps_meaning():
+    source = "a{{ 'b' + 'c' }}{% if 1 == 1 %}d{{ 2 * 3 }}{% else %}{{ ms }}{% endif %}{{ 'x' ~ ms[0] ~ 'y' ~ 'z' }}"
+    tree = chat.fold(chat.parse(source))
+    assert tree[0] == chat.Const("abcd6x") and tree[2] == chat.Const("yz") and len(tree) == 3
+    plain = chat._body(chat.parse(source), frozenset({"ms"}))
+    out = chat._Out()
+    plain({"ms": ["m"]}, out)
+    assert "".join(out.parts) == render(source, ms=["m"])[0] == "abcd6xmyz"
+
+
+def test_chat_edges(spark):
+    rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, None, None, None), (None, 0, "user", "x" * 200_000)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumns({"n_turns": F.lit("e"), "rendered": F.lit(None).cast("string")})
+    got = {r["conv_id"]: r for r in chat.report(df).collect()}
+    assert got[1]["rendered"] == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n" and got[1]["n_turns"] == 3
+    spans = [tuple(map(int, s.split("-"))) for s in got[1]["generation"].split(";")]
+    assert [got[1]["rendered"][a:b] for a, b in spans] == ["b<|im_end|>"] * 2
+    assert got[2]["rendered"] == "<|im_start|>\n<|im_end|>\n" and got[2]["generation"] == "" and len(got[None]["rendered"]) > 200_000
+    assert chat.report(df.limit(0)).count() == 0
+
+
+# --- parsing ---
+
+M = (1 << 64) - 1
+
+
+def slow_mix(v):
+    for _ in range(2):
+        v ^= v >> 32
+        v = v * 0xD6E8FEB86659FD93 & M
+    return v ^ v >> 32
+
+
+def slow_level(symbols):
+    names, i = [], 0
+    while i < len(symbols):
+        j = i
+        while j < len(symbols) and symbols[j] == symbols[i]:
+            j += 1
+        name = slow_mix((symbols[i] + int(parsing.K1)) & M)
+        names.append(name if j - i == 1 else slow_mix((name + (j - i) * int(parsing.K2)) & M))
+        i = j
+    labels, width = names, 64
+    for _ in range(parsing.ROUNDS):
+        nxt = []
+        for i, x in enumerate(labels):
+            left = labels[i - 1] if i else ~x & ((1 << width) - 1)
+            bit = ((x ^ left) & -(x ^ left)).bit_length() - 1
+            nxt.append(2 * bit + (x >> bit & 1))
+        labels, width = nxt, 8
+    at = lambda i: labels[i] if 0 <= i < len(labels) else -1
+    begin = [i for i in range(len(labels)) if i == 0 or len(labels) > parsing.FEW and at(i) > at(i - 1) and at(i) > at(i + 1)]
+    out = []
+    for s, e in zip(begin, [*begin[1:], len(names)]):
+        total = sum(slow_mix((n + (k + 1) * int(parsing.K3)) & M) for k, n in enumerate(names[s:e]))
+        out.append(slow_mix((total + (e - s) * int(parsing.K2)) & M))
+    return out
+
+
+def slow_parse(text, level):
+    symbols, depth, at_level = list(text), 0, None
+    while depth == 0 or len(symbols) > 1:
+        symbols = slow_level(symbols)
+        depth += 1
+        if depth == level:
+            at_level = symbols
+    return symbols[0], depth, at_level or symbols
+
+
+def test_parsing_equals_brute_force():
+    rng = random.Random(2)
+    texts = [bytes(rng.choice(b"abc ") for _ in range(rng.choice([1, 2, 9, 40, 600]))) for _ in range(30)] + [b"a", b"a" * 999, b"ab" * 300, bytes(range(256)), b"\0\0", "ü漢🙂".encode() * 50]
+    for level in (1, 2, 5):
+        for text, (f, d, p) in zip(texts, parsing.parse(texts, level)):
+            slow = slow_parse(text, level)
+            assert (f % (1 << 64), d, [x % (1 << 64) for x in p.tolist()]) == slow
+
+
+def test_parsing_shares_the_interior_of_equal_substrings():
+    rng = random.Random(4)
+    draw = lambda n: bytes(rng.randrange(97, 123) for _ in range(n))
+    for level, edge in ((1, 4), (2, 8), (3, 12)):
+        common = draw(2000)
+        alone = parsing.parse([common], level)[0][2]
+        for left, right in ((draw(1), draw(0)), (draw(313), draw(77)), (draw(1000), draw(5))):
+            whole = set(parsing.parse([left + common + right], level)[0][2].tolist())
+            assert set(alone[edge:-edge].tolist()) <= whole
+
+
+def test_parsing_edges(edges, no_docs):
+    rows = {r["doc_id"]: r for r in parsing.fingerprints(edges).collect()}
+    assert rows[2]["fingerprint"] is None and rows[2]["n_bytes"] is None and rows[3]["n_bytes"] == 0 and list(rows[3]["signatures"]) == []
+    assert rows[0]["fingerprint"] == rows[1]["fingerprint"] != rows[6]["fingerprint"] and len(rows[5]["signatures"]) > 1000
+    assert parsing.fingerprints(edges).count() == edges.count() and parsing.fingerprints(no_docs).count() == 0
+
+
+# --- BPE ---
+
+
+def test_bpe_equals_the_tokenizer():
+    import tiktoken
+
+    own = bpe.codec(bpe.VOCABULARY)
+    theirs = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    rng, alphabet = random.Random(1), "ab Z\n\t'sdtlvre!?.,-_é  ñ漢字🙂1290\x85\u3000\x1c/\\{}٠\u200b"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["a" * 5000, "xyzw" * 3000, "I'll we've 'S don't", "   lead", "end   ", "\n\n\nX"]
+    for t in texts:
+        ids = own.encode(t)
+        assert ids.tolist() == theirs.encode_ordinary(t), repr(t)
+        assert own.decode(ids) == t
+
+
+def test_bpe_fragments_are_independent():
+    own = bpe.codec(bpe.VOCABULARY)
+    text = "Some words, and others; 12 of them (here)!"
+    parts = own.fragments(text.encode())
+    assert len(parts) > 5 and b"".join(parts) == text.encode()
+    assert [i for p in parts for i in own._missing(p)] == own.encode(text).tolist()
+
+
+def test_bpe_forgets_without_changing_results(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    own = bpe.Codec(bpe.codec(bpe.VOCABULARY).ranks)
+    texts = ["one two three four five", "three four six", "one two three four five"]
+    assert [own.encode(t).tolist() for t in texts] == [bpe.codec(bpe.VOCABULARY).encode(t).tolist() for t in texts]
+
+
+def test_bpe_edges(edges, no_docs):
+    rows = {r["doc_id"]: r for r in bpe.round_trip(edges).collect()}
+    assert rows[2]["token_ids"] is None and rows[2]["n_tokens"] is None and rows[3]["n_tokens"] == 0 and all(r["decodes"] for k, r in rows.items() if k in range(10) and k != 2)
+    added = bpe.add_tokens(edges)
+    assert added.columns == [*edges.columns, "token_ids_"] and added.count() == edges.count()
+    back = added.select("text", bpe.decode_column()("token_ids_").alias("back"))
+    assert back.where("NOT text <=> back").count() == 0
+    assert bpe.round_trip(no_docs).count() == 0 and bpe.encode(no_docs).count() == 0
+
+
+# --- top-k ---
+
+
+def slow_top(rows, k):
+    x = {i: np.asarray(np.asarray(v, np.float32), float) for i, v in rows}
+    unit = {i: v / np.linalg.norm(v) if np.linalg.norm(v) else v for i, v in x.items()}
+    out = []
+    for i in x:
+        s = sorted(((-float((unit[i] * unit[j]).sum()), j) for j in x if j != i))
+        out += [(i, r + 1, j) for r, (_, j) in enumerate(s[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("n, d, k, tile", [(60, 8, 3, 16), (40, 3, 5, 7), (5, 4, 10, 8192), (1, 4, 3, 4), (2, 1, 1, 1)])
+def test_topk_equals_brute_force(spark, n, d, k, tile):
+    rng = np.random.default_rng(n)
+    rows = [(i, rng.standard_normal(d).round(1).tolist()) for i in range(n)]
+    rows += [(100 + i, rows[i][1]) for i in range(min(5, n - 1))] + ([(200, [0.0] * d)] if n > 5 else [])
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted((r["id"], r["rank"], r["neighbor"]) for r in topk.top_k(df, k, tile=tile).collect())
+    assert got == slow_top(rows, k)
+
+
+def test_topk_edges(spark):
+    rows = [(1, [1.0, 0.0], "x"), (2, [1.0, 0.0], "x"), (2, [1.0, 0.0], "x"), (3, None, "x"), (None, [1.0, 1.0], "x"), (4, [1.0, None], "x"), (5, [float("nan"), 1.0], "x"), (6, [1.0, 2.0, 3.0], "x"), (7, [0.0, 0.0], None), (8, [], None)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, score string").withColumn("rank", F.lit("r")).withColumn("tile", F.lit(1))
+    got = {(r["id"], r["rank"]): (r["neighbor"], r["score"]) for r in topk.top_k(df, 5).collect()}
+    assert got == {(1, 1): (2, 1.0), (1, 2): (7, 0.0), (2, 1): (1, 1.0), (2, 2): (7, 0.0), (7, 1): (1, 0.0), (7, 2): (2, 0.0)}
+    assert topk.top_k(df.limit(0)).count() == 0
+
+
+# --- SimHash ---
+
+
+def near_values(n, seed):
+    rng = random.Random(seed)
+    values = [rng.getrandbits(64) for _ in range(n)]
+    values += [v ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 12))) for v in values for _ in range(2)]
+    return [v - (1 << 64) if v >= 1 << 63 else v for v in dict.fromkeys(values)]
+
+
+@pytest.mark.parametrize("chosen", [None, (2, (3, 4)), (3, (2, 2, 2)), (3, (4, -1, 3)), (4, (4, -1, 1, 1)), (6, (1, 0, 1, 0, 1, 0))])
+def test_simhash_pairs_equal_brute_force(spark, chosen):
+    values = near_values(60, 3)
+    u = np.array(values, np.int64).view(np.uint64)
+    d = np.bitwise_count(u[:, None] ^ u[None, :])
+    expected = {(values[i], values[j]) for i, j in zip(*np.nonzero(d <= simhash.TAU)) if values[i] < values[j]}
+    fps = spark.createDataFrame([(v,) for v in values], "fp bigint").cache()
+    plan = chosen and list(zip(simhash.partitions_of(list(range(64)), chosen[0]), chosen[1]))
+    got = [(r["a"], r["b"]) for r in simhash.pairs(fps, simhash.TAU, plan).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected and len(expected) > 50
+
+
+def test_simhash_thresholds_are_the_cheapest():
+    import itertools
+
+    rng = random.Random(1)
+    costs = [[0.0, *sorted(rng.random() * 10 for _ in range(4))] for _ in range(4)]
+    best = min(sum(costs[i][t + 1] for i, t in enumerate(ts)) for ts in itertools.product(range(-1, 4), repeat=4) if sum(ts) == 4)
+    cost, ts = simhash.thresholds(costs, 4)
+    assert cost == pytest.approx(best) and sum(ts) == 4
+
+
+def test_simhash_histogram_estimate_is_exact_within_a_block():
+    rng = np.random.default_rng(0)
+    v = rng.integers(0, 32, 50)
+    shares = simhash.distance_shares(np.bincount(v, minlength=32).astype(float))
+    d = np.bitwise_count((v[:, None] ^ v[None, :]).astype(np.uint64))
+    assert shares == pytest.approx(np.bincount(d.ravel(), minlength=6) / d.size)
+
+
+def test_simhash_components(spark):
+    rng = random.Random(0)
+    edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(25)]
+    edges = [(a, b) for a, b in edges if a != b]
+    root = {n: n for e in edges for n in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert {n: got.get(n, n) for n in root} == {n: find(n) for n in root}
+
+
+def test_simhash_fingerprint_is_the_majority():
+    import xxhash
+
+    words = ["alpha", "beta", "gamma", "delta"]
+    bits = [sum(1 if xxhash.xxh3_64_intdigest(w).to_bytes(8, "little")[k // 8] >> (7 - k % 8) & 1 else -1 for w in words) > 0 for k in range(64)]
+    expected = int.from_bytes(np.packbits(np.array(bits, np.uint8)).tobytes(), "little", signed=True)
+    assert simhash.fingerprints_of(["Alpha, beta; gamma alpha DELTA"]) == [expected] and simhash.fingerprints_of([None, "", "..."]) == [None] * 3
+
+
+def test_simhash_edges(edges, no_docs):
+    pairs = sorted((r["doc_id"], r["dup_of"]) for r in simhash.near_duplicates(edges).collect())
+    assert pairs == [(1, 0)]
+    kept = simhash.deduplicate(edges)
+    assert kept.columns == edges.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, i) for i in (0, 2, 3, 4, 5, 6, 7, 8, 9)] + [(True, 0)] * 2
+    assert simhash.near_duplicates(no_docs).count() == 0 and simhash.deduplicate(no_docs).count() == 0
+
+
+def test_simhash_keeps_one_of_each_group(spark):
+    base = " ".join(f"wort{i}" for i in range(80))
+    rows = [(i, base.replace("wort7 ", f"neu{i} ") if i else base) for i in range(6)] + [(9, " ".join(f"other{i}" for i in range(80)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(docs).collect()) == [0, 9]
+    assert {(r["doc_id"], r["dup_of"]) for r in simhash.near_duplicates(docs).collect()} == {(i, 0) for i in range(1, 6)}
