@@ -8,8 +8,9 @@ weight_d * budget:
     minimise |W (A r - target)|^2 over r >= 0,  A_di = n_i p_id,  W = (sum n p p')^(-1/2),  starting at r = 1.
 
 In the variables sqrt(n) r the gradient step of length 1 is r <- max(0, r - p . l) with a vector l of one number per
-domain. So the state of the whole iteration is the list of those vectors: each step is one aggregation that returns
-D sums, rates are a function of a document's posterior and the list, and nothing else is stored per document.
+domain (momentum is added to r before). So the state of the whole iteration is the list of those vectors: each step is
+one aggregation that returns 2 D sums, rates are a function of a document's posterior and the list, and nothing else is
+stored per document.
 
 The classifier is fitted on at most max_rows labelled documents (a documented bound, picked by a hash of the id); the
 posteriors, totals and rates cover every document and its whole text.
@@ -27,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -36,7 +38,7 @@ from cumulo.llm.quality import labelled
 from cumulo.session import cut
 
 GRAM, BUCKET_BITS, MAX_ROWS = 5, 16, 4000
-ITERATIONS, TOLERANCE = 60, 1e-9
+ITERATIONS, TOLERANCE = 40, 1e-6
 #: n-grams summed at once, and the factor from a text's mean weight to its logit.
 SLAB, SHARPNESS = 1 << 20, 40.0
 DOMAINS = ("clean", "toxic", "junk")
@@ -155,17 +157,47 @@ def memberships(docs: DataFrame, model: Posterior) -> DataFrame:
 
 
 def rate_column(n_tokens: Column, posterior: Column, steps: list[list[float]]) -> Column:
-    """The rate after the steps: r <- max(0, r - p . l) for each of them, from 1."""
+    """The rate after the steps (momentum, l): r <- max(0, y - p . l), y = r + momentum (r - the r before), from 1."""
     rate = F.lit(1.0)
     if steps:
         lits = F.array(*[F.array(*[F.lit(float(v)) for v in s]) for s in steps])
-        dot = lambda l: F.aggregate(F.zip_with(posterior, l, lambda p, v: p * v), F.lit(0.0), lambda a, v: a + v)  # noqa: E731, E741
-        rate = F.aggregate(lits, F.lit(1.0), lambda r, l: F.greatest(F.lit(0.0), r - dot(l)))  # noqa: E741
+        dot = lambda s: F.aggregate(F.zip_with(posterior, F.slice(s, 2, len(steps[0]) - 1), lambda p, v: p * v), F.lit(0.0), lambda a, v: a + v)
+        move = lambda at, s: F.struct(F.greatest(F.lit(0.0), at["r"] + s[0] * (at["r"] - at["before"]) - dot(s)).alias("r"), at["r"].alias("before"))
+        rate = F.aggregate(lits, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("before")), move, lambda at: at["r"])
     return F.when(n_tokens > 0, rate).otherwise(F.lit(1.0))
 
 
+def _rates_of(p: np.ndarray, steps: list[list[float]], momentum: float) -> tuple[np.ndarray, np.ndarray]:
+    """(r, the point y where the next gradient is taken)."""
+    r = before = np.ones(len(p))
+    for beta, *l in steps:  # noqa: E741
+        r, before = np.maximum(0.0, r + beta * (r - before) - p @ np.array(l)), r
+    return r, r + momentum * (r - before)
+
+
+def _totals(members: DataFrame, steps: list[list[float]], momentum: float, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """The expected totals of the domains at r and at y: 2 D sums from each task, whatever the number of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(2 * d)
+        for b in batches:
+            n = b.column("n_tokens").to_numpy(zero_copy_only=False).astype(float)
+            p = b.column("posterior").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            r, y = _rates_of(p, steps, momentum)
+            sums += np.concatenate([(r * n) @ p, (y * n) @ p])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * d, dtype=np.int32)), pa.array(sums)], names=["i", "v"])
+
+    parts = members.select("n_tokens", "posterior").mapInArrow(run, "i int, v double")
+    found = {r["i"]: r["v"] for r in parts.groupBy("i").agg(F.sum("v").alias("v")).collect()}
+    got = np.array([found.get(i, 0.0) for i in range(2 * d)])
+    return got[:d], got[d:]
+
+
 def solve(members: DataFrame, targets: list[float], iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> tuple[list[list[float]], list[float]]:
-    """(steps, relative miss after each step). members should be materialised; it is read once per step."""
+    """(steps, relative miss after each number of steps). members should be materialised; it is read once per step.
+
+    Projected gradient with momentum, which starts anew when the miss grows; the steps up to the least miss are returned.
+    """
     d = len(targets)
     n, p = F.col("n_tokens").cast("double"), [F.element_at("posterior", k + 1) for k in range(d)]
     first = members.agg(F.sum("n_tokens").alias("n"), *[F.sum(n * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(d) for j in range(i + 1)]).first()
@@ -177,15 +209,18 @@ def solve(members: DataFrame, targets: list[float], iterations: int = ITERATIONS
     inverse = np.linalg.pinv(gram, rcond=1e-12)
     steps: list[list[float]] = []
     misses: list[float] = []
-    for _ in range(iterations):
-        r = rate_column(F.col("n_tokens"), F.col("posterior"), steps)
-        got = members.select(r.alias("r"), n.alias("n"), *[x.alias(f"p{k}") for k, x in enumerate(p)]).agg(*[F.sum(F.col("r") * F.col("n") * F.col(f"p{k}")).alias(f"t{k}") for k in range(d)]).first()
-        miss = np.array([got[f"t{k}"] for k in range(d)]) - want
-        misses.append(float(np.abs(miss).sum() / budget))
-        if misses[-1] < tolerance or (len(misses) > 3 and misses[-4] - misses[-1] < 1e-3 * misses[-1]):
+    momentum, t = 0.0, 1.0
+    for _ in range(iterations + 1):
+        at_r, at_y = _totals(members, steps, momentum, d)
+        misses.append(float(np.abs(at_r - want).sum() / budget))
+        if misses[-1] < tolerance or len(steps) == iterations:
             break
-        steps.append((inverse @ miss).tolist())
-    return steps, misses
+        if len(misses) > 1 and misses[-1] > misses[-2]:
+            momentum, t, at_y = 0.0, 1.0, at_r
+        steps.append([momentum, *(inverse @ (at_y - want)).tolist()])
+        after = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        momentum, t = (t - 1) / after, after
+    return steps[: int(np.argmin(misses))], misses
 
 
 def rates(docs: DataFrame, model: Posterior, targets: list[float]) -> DataFrame:
