@@ -549,11 +549,11 @@ def negation_counts(spark: SparkSession, sf: str) -> DataFrame:
 _N, _F = 400, 50
 _BANDS = f"""
 WITH RECURSIVE g AS (SELECT CAST(0 AS BIGINT) AS k, CAST(42 AS BIGINT) AS s UNION ALL SELECT k + 1, (s * 1664525 + 1013904223) % 4294967296 FROM g WHERE k < {_N * (_F + 1)}),
-r AS (SELECT (k - 1) // {_F + 1} AS row_id, (k - 1) % {_F + 1} AS at, s / 4294967295.0::DOUBLE AS r FROM g WHERE k > 0),
-gr AS (SELECT row_id, least(CAST(floor(r * {C}) AS INTEGER), {C - 1}) AS grp FROM r WHERE at = 0)
-SELECT CAST(row_id AS BIGINT) AS row_id, CAST(at - 1 AS INTEGER) AS f, grp,
-  round(greatest(0.0, least(1.0, CASE WHEN at - 1 >= grp * {_F // C} AND at - 1 < (grp + 1) * {_F // C} THEN 0.45::DOUBLE + 0.45::DOUBLE * r ELSE 0.12::DOUBLE * r END)), 9) AS v
-FROM r JOIN gr USING (row_id) WHERE at > 0
+r AS (SELECT (k - 1) // {_F + 1} AS row_id, (k - 1) % {_F + 1} AS pos, s / 4294967295.0::DOUBLE AS r FROM g WHERE k > 0),
+gr AS (SELECT row_id, least(CAST(floor(r * {C}) AS INTEGER), {C - 1}) AS grp FROM r WHERE pos = 0)
+SELECT CAST(row_id AS BIGINT) AS row_id, CAST(pos - 1 AS INTEGER) AS f, grp,
+  round(greatest(0.0, least(1.0, CASE WHEN pos - 1 >= grp * {_F // C} AND pos - 1 < (grp + 1) * {_F // C} THEN 0.45::DOUBLE + 0.45::DOUBLE * r ELSE 0.12::DOUBLE * r END)), 9) AS v
+FROM r JOIN gr USING (row_id) WHERE pos > 0
 """
 
 

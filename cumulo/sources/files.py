@@ -75,7 +75,7 @@ def fixed(c: Column, digits: int = 6) -> Column:
 
 def write_rows(df: DataFrame, column: str, path: str, order: str = "row_id") -> None:
     """One headerless CSV line per row from an array of doubles, in row order across the files (part numbers ascend)."""
-    line = F.array_join(F.transform(column, fixed), ",")
+    line = F.array_join(F.transform(column, lambda v: fixed(v)), ",")
     df.orderBy(order).select(line.alias("value")).write.mode("overwrite").text(path)
 
 
