@@ -9,7 +9,7 @@ BATCH_ROWS = 256
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches handed to Python workers: a batch of long texts must fit beside the heap."""
+    """Bound the rows of the Arrow batches handed to Python workers; Spark bounds their bytes (64 MB unless set otherwise)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cumulo.llm.common import small_batches
 from cumulo.session import cut
 
 K, BLOCKS, TILE, ROWS, SLACK = 10, 2, 8192, 512, 1e-4
@@ -155,8 +156,7 @@ def top_k(df: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "emb
     queries = packed.select(F.col("tile").alias("qt"), F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"), F.explode(numbers).alias("ot"))
     objects = packed.select(F.col("tile").alias("ot"), F.col("ids").alias("o_ids"), F.col("vs").alias("o_vs"), F.explode(numbers).alias("qt"))
     one = lambda f, *a: lambda batches: (f(b, *a) for b in batches)
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    small_batches(df.sparkSession)
     lists = queries.join(objects, ["qt", "ot"]).mapInPandas(one(_local_lists, d, k), "id bigint, score double")
     gathered = lists.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score")))).where(F.col("place") <= k)
     bound = F.when(F.count("*") == k, F.min("score")).otherwise(F.lit(-2.0))
