@@ -182,6 +182,9 @@ def fit(points: DataFrame, start: Start, m: float = FUZZINESS, epsilon: float =
     else:
         cached = own.select("x", "u0").persist(StorageLevel.MEMORY_AND_DISK)
         step = _arrow_step
+    conf, rows_per_batch = points.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(rows_per_batch)
+    conf.set(rows_per_batch, "10000")  # whatever was set for wider rows; Spark bounds the bytes as well
     try:
         centroids, _ = step(cached, None, None, c, n, m)
         old, history = None, []
@@ -192,6 +195,7 @@ def fit(points: DataFrame, start: Start, m: float = FUZZINESS, epsilon: float =
             if delta < epsilon:
                 break
     finally:
+        conf.set(rows_per_batch, before)
         cached.unpersist()
     last = history[-1] if history else (0, float("inf"))
     return FcmResult(centroids, old, last[0], last[1], start, m, history)
