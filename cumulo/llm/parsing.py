@@ -13,6 +13,11 @@ A symbol's label depends on four symbols to its left, a phrase's start on one mo
 are cut alike, except near their ends, wherever they stand: they share the signatures of their interior. The last level
 has one symbol, the name of the whole text.
 
+Signatures are the phrases of LEVELS together: the lower level finds short common passages, the higher one says more about each.
+A text that ends before has those of its deepest level with several phrases (its whole name if no level has). What is sure: n + 1 phrases
+of a level need 11 more symbols than n, and 19 are lost at the ends, so any common passage of 3,858 bytes (runs counted once) shares a
+signature of level 3, the worst case of all; how long passages of real text have to be is in the README.
+
 Defined cases: a null or empty text has no signatures and a null fingerprint; ids can be null or repeated, each row has its
 own result; other columns are ignored; empty tables give empty results. A worker needs about 60 bytes of memory for
 each byte of the longest text.
@@ -28,8 +33,8 @@ from pyspark.sql import DataFrame
 
 from cumulo.llm.common import small_batches
 
-#: The level whose phrases are reported (about 90 bytes each), rounds of coin tossing, symbols that always are one phrase, bytes parsed at once.
-LEVEL, ROUNDS, FEW, SLAB = 5, 4, 8, 1 << 20
+#: The levels whose phrases are reported (about 15 and 37 bytes each), rounds of coin tossing, symbols that always are one phrase, bytes parsed at once.
+LEVELS, ROUNDS, FEW, SLAB = (3, 4), 4, 8, 1 << 20
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -96,31 +101,46 @@ def next_level(symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
     return mix(np.add.reduceat(parts, at) + length.astype(np.uint64) * K2), first[at]
 
 
-def parse(texts: list[bytes], level: int = LEVEL) -> list[tuple[int, int, np.ndarray]]:
+def parse(texts: list[bytes], level: int) -> list[tuple[int, int, np.ndarray]]:
     """(fingerprint, levels, names of the level's phrases in order) of each text, none of them empty.
 
     A text with fewer levels has its fingerprint as its only phrase.
     """
+    return [(f, d, own[level - 1] if d >= level else own[-1]) for f, d, own in hierarchy(texts, level)]
+
+
+def sign(texts: list[bytes], levels: tuple[int, ...] = LEVELS) -> list[tuple[int, int, np.ndarray]]:
+    """(fingerprint, levels, signatures) of each text, none of them empty: the phrases of the levels, each in the order of the text."""
+    out = []
+    for f, d, own in hierarchy(texts, max(levels)):
+        several = [p for p in own if len(p) > 1]
+        chosen = [own[k - 1] for k in levels if k <= len(own) and len(own[k - 1]) > 1]
+        out.append((f, d, np.concatenate(chosen) if chosen else several[-1] if several else own[-1]))
+    return out
+
+
+def hierarchy(texts: list[bytes], most: int) -> list[tuple[int, int, list[np.ndarray]]]:
+    """(fingerprint, levels, names of the phrases of each level up to most) of each text, none of them empty."""
     out: list = [None] * len(texts)
     sizes = np.array([len(t) for t in texts])
     symbols = np.frombuffer(b"".join(texts), np.uint8)
     first = np.zeros(len(symbols), bool)
     first[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = True
-    owners, phrases, depth = np.arange(len(texts)), {}, 0
+    owners, phrases, depth = np.arange(len(texts)), [[] for _ in texts], 0
     while len(owners):
         symbols, first = next_level(symbols, first)
         depth += 1
         starts = np.flatnonzero(first)
         count = np.diff(starts, append=len(symbols))
-        if depth == level:
+        if depth <= most:
             for o, s, c in zip(owners.tolist(), starts.tolist(), count.tolist()):
-                phrases[o] = symbols[s : s + c]
+                phrases[o].append(symbols[s : s + c].view(np.int64))
         ended = count == 1
         for o, s in zip(owners[ended].tolist(), starts[ended].tolist()):
-            out[o] = (symbols[s], depth, phrases.get(o, symbols[s : s + 1]))
+            out[o] = (int(symbols[s].view(np.int64)), depth, phrases[o])
         stay = np.repeat(~ended, count)
         symbols, first, owners = symbols[stay], first[stay], owners[~ended]
-    return [(int(np.int64(np.uint64(f).view(np.int64))), d, p.view(np.int64)) for f, d, p in out]
+    return out
 
 
 def slabs(texts: list[str | None], most: int = SLAB) -> Iterator[tuple[list[int], list[bytes]]]:
@@ -137,8 +157,8 @@ def slabs(texts: list[str | None], most: int = SLAB) -> Iterator[tuple[list[int]
         yield rows, own
 
 
-def fingerprints(docs: DataFrame, level: int = LEVEL) -> DataFrame:
-    """(doc_id, n_bytes, levels, fingerprint, signatures) of every row; signatures in the order of the text."""
+def fingerprints(docs: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """(doc_id, n_bytes, levels, fingerprint, signatures) of every row; signatures level by level, in the order of the text."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,7 +167,7 @@ def fingerprints(docs: DataFrame, level: int = LEVEL) -> DataFrame:
             n = len(texts)
             names, depth, signs, size = [None] * n, [0] * n, [np.zeros(0, np.int64)] * n, [None if t is None else 0 for t in texts]
             for rows, own in slabs(texts):
-                for i, raw, (f, d, p) in zip(rows, own, parse(own, level)):
+                for i, raw, (f, d, p) in zip(rows, own, sign(own, levels)):
                     names[i], depth[i], signs[i], size[i] = f, d, p, len(raw)
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": pd.Series(size, dtype="Int64", index=b.index), "levels": depth, "fingerprint": pd.Series(names, dtype="Int64", index=b.index), "signatures": pd.Series(signs, dtype=object, index=b.index)})
 

@@ -225,6 +225,26 @@ def test_parsing_shares_the_interior_of_equal_substrings():
             assert set(alone[edge:-edge].tolist()) <= whole
 
 
+def test_parsing_signatures_find_short_passages_and_edited_short_texts():
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    signs = lambda w: set(parsing.sign([" ".join(w).encode()])[0][2].tolist())
+    for n in (30, 51):
+        for _ in range(60):
+            passage = words(n)
+            assert signs([*words(90), *passage, *words(70)]) & signs([*words(35), *passage, *words(120)])
+    for n in (15, 20, 30, 40):
+        edited = 0
+        for _ in range(60):
+            text = words(n)
+            other = list(text)
+            other[rng.randrange(n)] = "replaced"
+            edited += bool(signs(text) & signs(other))
+        assert edited >= 57
+    assert len(signs(["shared", "by", "all"])) > 1
+
+
 def test_parsing_edges(edges, no_docs):
     rows = {r["doc_id"]: r for r in parsing.fingerprints(edges).collect()}
     assert rows[2]["fingerprint"] is None and rows[2]["n_bytes"] is None and rows[3]["n_bytes"] == 0 and list(rows[3]["signatures"]) == []
