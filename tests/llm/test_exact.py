@@ -400,6 +400,28 @@ def test_simhash_edges(edges, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.deduplicate(no_docs).count() == 0
 
 
+def similar_pairs(rng):
+    """(group, text, text): edited copies of short and long texts, by the share of replaced words."""
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    for n, replaced in ((15, 1), (20, 1), (60, 3), (100, 5), (60, 6), (100, 10), (300, 30)):
+        for _ in range(60):
+            words = rng.sample(vocabulary, n)
+            other = list(words)
+            for at in rng.sample(range(n), replaced):
+                other[at] = "new" + other[at]
+            yield (n, replaced), " ".join(words), " ".join(other)
+
+
+def test_simhash_recall_against_text_similarity(spark):
+    cases = list(similar_pairs(random.Random(8)))
+    rows = [(2 * i + j, t[j]) for i, (_, *t) in enumerate(cases) for j in (0, 1)]
+    found = {(r["doc_id"], r["dup_of"]) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(a == b + 1 and b % 2 == 0 for a, b in found)
+    for group in {c[0] for c in cases}:
+        hit = [(2 * i + 1, 2 * i) in found for i, c in enumerate(cases) if c[0] == group]
+        assert sum(hit) / len(hit) >= 0.85, group
+
+
 def test_simhash_keeps_one_of_each_group(spark):
     base = " ".join(f"wort{i}" for i in range(80))
     rows = [(i, base.replace("wort7 ", f"neu{i} ") if i else base) for i in range(6)] + [(9, " ".join(f"other{i}" for i in range(80)))]
