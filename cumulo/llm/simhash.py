@@ -386,7 +386,7 @@ def near_nodes(nodes: DataFrame, tau: int = TAU, searched: int = WORDS) -> DataF
         _free(nodes.sparkSession)
     own = nodes.select("node", "sketch")
     both = met.distinct().join(own.toDF("u", "su"), "u").join(own.toDF("v", "sv"), "v")
-    return both.select("u", "v")
+    return both.where(similarity("su", "sv") >= SIMILAR).select("u", "v")
 
 
 def _members(docs: DataFrame, tau: int, searched: int) -> DataFrame:

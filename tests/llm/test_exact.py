@@ -422,6 +422,13 @@ def test_simhash_recall_against_text_similarity(spark):
         assert sum(hit) / len(hit) >= 0.85, group
 
 
+def test_simhash_bits_alone_make_no_pair(spark):
+    same = [7, 7, 7, 7]
+    rows = [(1, same, list(range(64))), (2, same, list(range(100, 164))), (3, same, list(range(8, 72)))]
+    nodes = spark.createDataFrame(rows, "node bigint, words array<bigint>, sketch array<bigint>")
+    assert [(r["u"], r["v"]) for r in simhash.near_nodes(nodes).collect()] == [(1, 3)]
+
+
 def test_simhash_keeps_one_of_each_group(spark):
     base = " ".join(f"wort{i}" for i in range(80))
     rows = [(i, base.replace("wort7 ", f"neu{i} ") if i else base) for i in range(6)] + [(9, " ".join(f"other{i}" for i in range(80)))]
