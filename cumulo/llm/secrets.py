@@ -30,7 +30,8 @@ class Rule:
 
 _WORDS = ("token", "Token", "TOKEN", "secret", "Secret", "SECRET", "password", "Password", "PASSWORD", "api_key", "API_KEY", "apikey", "apiKey")
 
-RULES = (
+#: The rules that oracle_sql() covers.
+BOUNDED = (
     Rule("assigned_credential", 1, r"""(?:^|[^A-Za-z0-9])(?:""" + "|".join(_WORDS) + r""")["']?[ \t]*[=:][ \t]*["']([^"'\s]{12,200})["']""", _WORDS),
     Rule("aws_access_key", 1, r"(?:^|[^A-Za-z0-9])((?:AKIA|ASIA)[0-9A-Z]{16})", ("AKIA", "ASIA")),
     Rule("git_host_token", 1, r"((?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36})", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
@@ -42,6 +43,18 @@ RULES = (
     Rule("uri_password", 1, r"[a-z]://[^\s:/@]{1,64}:([^\s:/@]{4,64})@", ("://",)),
 )
 
+#: What BOUNDED cuts or leaves out: key blocks up to their END line (or the end of the text), and secrets beyond the bounds. The short
+#: password is taken with the signs around it, as redact() replaces a secret wherever the text holds it.
+WHOLE = (
+    Rule("private_key_block", 1, r"(-----BEGIN [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----(?s:.*?)(?:-----END [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----|$))", ("PRIVATE KEY",)),
+    Rule("assigned_credential_long", 1, BOUNDED[0].pattern.replace("{12,200}", "{201,}"), _WORDS),
+    Rule("chat_token_long", 1, r"(xox[abprs]-[A-Za-z0-9-]{73,})", ("xox",)),
+    Rule("payment_key_long", 1, r"(?:^|[^A-Za-z0-9])([sr]k_(?:live|test)_[A-Za-z0-9]{65,})", ("_live_", "_test_")),
+    Rule("uri_password_long", 1, r"[a-z]://[^\s:/@]*:([^\s:/@]{65,})@", ("://",)),
+    Rule("uri_password_short", 1, r"[a-z]://[^\s:/@]*(:[^\s:/@]{1,3}@)", ("://",)),
+)
+RULES = BOUNDED + WHOLE
+
 
 def _matches(text: str, rule: Rule) -> Column:
     """The rule's secrets in a text. The literals are looked for first, which costs far less than the pattern."""
@@ -133,7 +146,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
     return out.select(*docs.columns)
 
 
-def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
+def oracle_sql(rules: tuple[Rule, ...] = BOUNDED) -> str:
     parts = []
     for r in rules:
         p = r.pattern.replace("'", "''")

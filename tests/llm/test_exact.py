@@ -55,6 +55,19 @@ def test_secrets_edges(edges, no_docs):
     assert secrets.report(no_docs).count() == 0 and secrets.redact(no_docs).count() == 0
 
 
+def test_secrets_are_redacted_whole(spark):
+    body = "\n".join("MIIEow" + f"{i:04d}" * 14 for i in range(25))
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    long = {"quoted": 'password = "' + "q7" * 150 + '"', "pay": "sk_live_" + "Z9" * 50, "chat": "xoxb-" + "c3" * 60, "uri": "https://u:" + "p5" * 50 + "@h/x"}
+    texts = [f"before\n{key}\nafter", key[: key.index("-----END")], *long.values(), "redis://u:ab@host about"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    clean = [r["text"] for r in secrets.redact(docs).orderBy("doc_id").collect()]
+    assert clean[0] == "before\n[SECRET:private_key_block]\nafter" and clean[1].strip() == "[SECRET:private_key_block]"
+    assert not any(x in c for c in clean for x in ("q7", "Z9", "c3", "p5", "MIIE", ":ab@")) and clean[6].endswith("host about")
+    digests = {r["secret_sha256"] for r in secrets.report(docs).where("rule = 'private_key_block'").collect()}
+    assert len(digests) == 2
+
+
 # --- sharding ---
 
 
