@@ -17,12 +17,13 @@ posteriors, totals and rates cover every document and its whole text.
 
 Defined cases: a document without tokens (null or empty text) has the domains' shares among the labels as posterior
 and the rate 1, and changes no total; labels without a document or domain are ignored; without labels all domains are
-equally likely; a target that no document can meet is approached as far as it goes; ids can be null or repeated, each
+equally likely; a target that no document can meet is approached as far as it goes, with a warning where the miss stays over HIGH_MISS; ids can be null or repeated, each
 row has its own rate; other columns are ignored by rates() and kept by mix(); empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,6 +40,8 @@ from cumulo.session import cut
 
 GRAM, BUCKET_BITS, MAX_ROWS = 5, 16, 4000
 ITERATIONS, TOLERANCE = 40, 1e-6
+#: A relative miss that is reported.
+HIGH_MISS = 0.02
 #: n-grams summed at once, and the factor from a text's mean weight to its logit.
 SLAB, SHARPNESS = 1 << 20, 40.0
 DOMAINS = ("clean", "toxic", "junk")
@@ -196,7 +199,8 @@ def _totals(members: DataFrame, steps: list[list[float]], momentum: float, d: in
 def solve(members: DataFrame, targets: list[float], iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> tuple[list[list[float]], list[float]]:
     """(steps, relative miss after each number of steps). members should be materialised; it is read once per step.
 
-    Projected gradient with momentum, which starts anew when the miss grows; the steps up to the least miss are returned.
+    Projected gradient with momentum, which starts anew when the miss grows; the steps up to the least miss are returned. Where no step of
+    the weighted metric helps, as with a domain that has hardly any mass, the plain gradient with the step 1 / L can't overshoot.
     """
     d = len(targets)
     n, p = F.col("n_tokens").cast("double"), [F.element_at("posterior", k + 1) for k in range(d)]
@@ -206,7 +210,16 @@ def solve(members: DataFrame, targets: list[float], iterations: int = ITERATIONS
         return [], []
     gram = np.array([[first[f"g{max(i, j)}_{min(i, j)}"] for j in range(d)] for i in range(d)], float)
     want = np.array(targets, float) / sum(targets) * budget
-    inverse = np.linalg.pinv(gram, rcond=1e-12)
+    steps, misses = _descend(members, want, np.linalg.pinv(gram, rcond=1e-12), iterations, tolerance)
+    if not steps and misses[0] >= tolerance:
+        steps, misses = _descend(members, want, np.eye(d) / np.linalg.eigvalsh(gram)[-1], iterations, tolerance)
+    if min(misses) > HIGH_MISS:
+        warnings.warn(f"mixing misses its targets by {min(misses):.3f} of the tokens", stacklevel=2)
+    return steps, misses
+
+
+def _descend(members: DataFrame, want: np.ndarray, inverse: np.ndarray, iterations: int, tolerance: float) -> tuple[list[list[float]], list[float]]:
+    d, budget = len(want), float(want.sum())
     steps: list[list[float]] = []
     misses: list[float] = []
     momentum, t = 0.0, 1.0

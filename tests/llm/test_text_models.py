@@ -1,5 +1,7 @@
 """Quality classifier, mixing, toxicity."""
 
+import contextlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -123,6 +125,20 @@ def test_mixing_rates_meet_the_targets(spark, targets):
     assert len(steps) == int(np.argmin(misses))
 
 
+@pytest.mark.parametrize("handful", [0, 3])
+def test_mixing_takes_steps_with_a_domain_of_hardly_any_mass(spark, handful):
+    rng = np.random.default_rng(1)
+    toxic, junk = rng.beta(0.05, 0.9, 400), rng.random(400) * 1e-6
+    junk[:handful] = 0.9
+    post = np.column_stack([toxic, junk]) * [[1.0, 1.0]]
+    post[:handful, 0] = 0.05
+    post = np.column_stack([1 - post.sum(axis=1), post])
+    df = spark.createDataFrame([(i, 50 + i % 90, p.tolist()) for i, p in enumerate(post)], "doc_id bigint, n_tokens bigint, posterior array<double>").cache()
+    with pytest.warns(UserWarning) if not handful else contextlib.nullcontext():
+        steps, misses = mixing.solve(df, [0.90, 0.02, 0.08] if not handful else [0.97, 0.02, 0.01])
+    assert steps and min(misses) < misses[0]
+
+
 def test_mixing_posteriors(labelled):
     domain = np.where(labelled["toxic"] == 1, 1, np.where(labelled["quality"] == 0, 2, 0))
     model = mixing.train(labelled["text"][:280].tolist(), domain[:280].tolist(), 3)
