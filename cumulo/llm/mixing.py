@@ -243,13 +243,32 @@ def rates(docs: DataFrame, model: Posterior, targets: list[float]) -> DataFrame:
     return members.withColumn("rate", F.round(rate_column(F.col("n_tokens"), F.col("posterior"), steps), 6))
 
 
-def mix(docs: DataFrame, model: Posterior, targets: list[float]) -> DataFrame:
+def raised(members: DataFrame, targets: list[float], keep: int) -> list[float]:
+    """The targets, with the share of domain keep not below the one it has; the others make room in proportion."""
+    n = F.col("n_tokens")
+    row = members.agg(F.sum(n).alias("n"), F.sum(n * F.element_at("posterior", keep + 1)).alias("k")).first()
+    shares = np.array(targets, float) / sum(targets)
+    own = float(row["k"] / row["n"]) if row["n"] else 0.0
+    rest = 1 - shares[keep]
+    if own > shares[keep] and rest > 0:
+        shares *= (1 - own) / rest
+        shares[keep] = own
+    return shares.tolist()
+
+
+def mix(docs: DataFrame, model: Posterior, targets: list[float], keep: int | None = None) -> DataFrame:
     """docs with each row as often as its rate says; the fraction is decided by a hash of id and text.
 
+    keep: a domain that doesn't lose: its target is at least its share, and documents that belong to it most have a rate of at least 1.
+
     The texts are classified twice, once for the totals and once where the rows are written, so that no text is shuffled.
     """
-    steps, _ = solve(cut(memberships(docs, model)), targets)
+    members = cut(memberships(docs, model))
+    steps, _ = solve(members, targets if keep is None else raised(members, targets, keep))
     m, copies = fresh(docs, "cumulo_m"), fresh(docs, "cumulo_copies")
     rate = rate_column(F.element_at(m, 1), F.slice(m, 2, len(model.bias)), steps)
+    if keep is not None:
+        own = F.slice(m, 2, len(model.bias))
+        rate = F.when(F.element_at(own, keep + 1) >= F.array_max(own), F.greatest(rate, F.lit(1.0))).otherwise(rate)
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     return docs.withColumn(m, _membership(model)("text")).withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.floor(rate + chance).cast("int")))).select(*docs.columns)

@@ -165,6 +165,18 @@ def test_mixing_copies_follow_rates(spark):
     assert copies.count() == 400 and copies.distinct().count() == 400
 
 
+def test_mixing_keeps_every_clean_document(spark, labelled):
+    labels = labelled.assign(domain=np.where(labelled["toxic"] == 1, 1, np.where(labelled["quality"] == 0, 2, 0)))
+    model = mixing.train(labels["text"][:280].tolist(), labels["domain"][:280].tolist(), 3)
+    clean = labels[labels["domain"] == 0]
+    docs = spark.createDataFrame([(int(r.doc_id), r.text) for r in clean.itertuples()], "doc_id bigint, text string")
+    first = mixing.posteriors(model, clean["text"].tolist()).argmax(axis=1) == 0
+    kept = {r["doc_id"] for r in mixing.mix(docs, model, [0.6, 0.2, 0.2], keep=0).select("doc_id").collect()}
+    assert {int(i) for i in clean["doc_id"][first]} <= kept
+    members = spark.createDataFrame([(1, 10, [0.99, 0.006, 0.004])], "doc_id bigint, n_tokens bigint, posterior array<double>")
+    assert mixing.raised(members, [0.97, 0.02, 0.01], 0) == pytest.approx([0.99, 0.02 / 3, 0.01 / 3])
+
+
 # --- toxicity ---
 
 LEXICON = toxicity.Lexicon({"idiot": 1.0, "clown": 0.5, "mor*": 0.25, "idiotic clown": 2.0}, ("class clown", "trash can"))
