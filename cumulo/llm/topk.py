@@ -1,38 +1,44 @@
-"""Exact top-k search by a three-phase uniform threshold, with every row as a query.
-
-The cosine of two vectors is the sum of its parts over BLOCKS blocks of dimensions; each block of each tile of vectors is a
-node that knows only its part scores.
-
-1. Every node gives each query its local list, the k best by part score. The listed vectors' full scores are gathered;
-   the k-th best over all nodes is a safe lower bound of the query's k-th best score.
-2. The bound divided by the number of blocks is broadcast as the query's cutoff: a vector whose parts are all below it
-   can't reach the bound, so the entries at or above it suffice. Those whose known parts, with the cutoff for each
-   unknown one, stay below the bound are dropped.
-3. The full scores of what is left are computed in double precision, and the k best of all nodes are the result.
-
-Vectors are packed in tiles of about TILE rows; each pair of a query tile and a vector tile is one task, whatever the number
-of vectors. Equal scores are ordered by id. The parts are computed in single precision; the comparisons allow for that
-(SLACK), so the result is exact.
-
-Defined cases: rows with a null id, a null vector, a null or non-finite component, or not of the most frequent length
-(of several the largest) are no vectors; an id that is repeated counts once, with its least vector; a zero vector has
-score 0 to all; fewer than k + 1 vectors give each query all others; a vector isn't its own neighbour, an equal one
-with another id is; other columns are ignored; empty tables give empty results.
+"""Exact top-k search by a three-phase uniform threshold: the stated queries against all rows, in blocks.
+
+The cosine of two vectors is the sum of its parts over BLOCKS blocks of dimensions. A node is one block of a tile of objects; it
+holds its slice of those vectors and nothing of their other dimensions, and gets the same slice of the query tiles.
+
+1. Each node sends, for each query, its local list: the k + 1 best by part score. Per query and block the best of all nodes
+   are kept, their full scores are fetched, and the least of the k + 1 best is a safe cutoff: the true one isn't lower.
+2. The cutoff goes back to the nodes with the query tiles. A vector whose parts all are below cutoff / BLOCKS can't reach
+   it, so each node sends just the entries at or above that share. The entries of a vector are added up, the share in the place of parts
+   that weren't sent; what stays below the cutoff is dropped.
+3. The full scores of what is left are computed in double precision, and the best are the result.
+
+Equal vectors are one object (and one query), however many ids have them: the k + 1 least ids stand for them, as no list can hold more, so
+copies cost nothing and none of them is lost. Query tiles go to object tiles in groups of GROUP, so a task's work and memory don't depend on
+the number of vectors. The parts are computed in single precision; the comparisons allow for that (SLACK), so the result is exact.
+Equal scores are ordered by id.
+
+Defined cases: rows with a null id, a null or empty vector, a null or non-finite component, or not of the most frequent length
+(of several the largest) are no vectors, and a warning says how many have another length; an id that is repeated counts once, with its
+least vector; a zero vector has score 0 to all; fewer than k + 1 vectors give each query all others; a vector isn't its own neighbour, an
+equal one with another id is; other columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import warnings
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cumulo.llm.common import small_batches
 from cumulo.session import cut
 
-K, BLOCKS, TILE, ROWS, SLACK = 10, 2, 8192, 512, 1e-4
+K, BLOCKS, SLACK = 10, 2, 1e-4
+#: Rows of an object tile and of a query tile, query tiles that meet an object tile in one task, and queries multiplied at once.
+TILE, QUERY_TILE, GROUP, ROWS = 8192, 2048, 16, 512
+#: One of so many ids is a query.
+EVERY = 20
 
 
 def vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, int, int]:
@@ -40,136 +46,172 @@ def vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -
     v = F.col(vec_col).cast("array<float>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~bad & (F.size("v") > 0))
-    by_length = rows.groupBy(F.size("v").alias("d")).agg(F.count_distinct("id").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    if by_length is None:
+    by_length = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "d")).alias("most"), F.sum("n").alias("all")).first()
+    if by_length["most"] is None:
         return rows, 0, 1
-    return rows.where(F.size("v") == by_length["d"]).groupBy("id").agg(F.min("v").alias("v")), by_length["n"], by_length["d"]
+    n, d = by_length["most"]["n"], by_length["most"]["d"]
+    if by_length["all"] > n:
+        warnings.warn(f"{by_length['all'] - n} vectors don't have {d} dimensions and are left out", stacklevel=2)
+    return rows.where(F.size("v") == d).groupBy("id").agg(F.min("v").alias("v")), n, d
 
 
-def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("id")
-    return pd.DataFrame({"tile": [pdf["tile"].iloc[0]], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "vs": [np.stack(pdf["v"].to_numpy()).astype(np.float32).tobytes()]})
+def objects(rows: DataFrame, k: int, is_query: Column) -> tuple[DataFrame, DataFrame]:
+    """((id, v, ids, asked), (id, query)): the distinct vectors, each under its least id with its k + 1 least ids and whether a query has it; the
+    queries and the object that each of them is."""
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("place") <= k + 1)
+    same = placed.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    found = same.select(F.element_at("ids", 1).alias("id"), "v", "ids")
+    queries = rows.where(is_query).join(found.select(F.col("id").alias("object"), F.col("v").alias("w")), F.col("v") == F.col("w")).select("object", F.col("id").alias("query"))
+    queries = cut(queries)
+    asked = queries.select(F.col("object").alias("id")).distinct().withColumn("asked", F.lit(True))
+    return cut(found.join(asked, "id", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))), queries
 
 
-def _tile_of(n_tiles: int) -> Column:
-    return F.pmod(F.xxhash64("id"), F.lit(n_tiles)).cast("int")
+# --- tiles and nodes --------------------------------------------------------------------------------------------------
 
 
-def tiles(rows: DataFrame, n_tiles: int) -> DataFrame:
-    """(tile, ids, vs): the vectors packed, a row per tile."""
-    return rows.select("id", "v", _tile_of(n_tiles).alias("tile")).groupBy("tile").applyInPandas(_pack, "tile int, ids binary, vs binary")
+def _blocks(d: int) -> list[slice]:
+    cuts = [round(i * d / BLOCKS) for i in range(BLOCKS + 1)]
+    return [slice(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
-def _unit(raw: bytes, d: int) -> np.ndarray:
-    x = np.frombuffer(raw, np.float32).reshape(-1, d).astype(np.float64)
+def _unit(v: np.ndarray) -> np.ndarray:
+    x = v.astype(np.float64)
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def _blocks(d: int) -> list[slice]:
-    cuts = [round(i * d / BLOCKS) for i in range(BLOCKS + 1)]
-    return [slice(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
+def _tile_of(tiles: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")
+
+
+def slices(rows: DataFrame, tiles: int, d: int) -> DataFrame:
+    """(tile, block, ids, vs): each block of dimensions of each tile, packed in single precision."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        unit, ids = _unit(np.stack(pdf["v"].to_numpy())).astype(np.float32), pdf["id"].to_numpy(np.int64).tobytes()
+        parts = [np.ascontiguousarray(unit[:, b]).tobytes() for b in _blocks(d)]
+        return pd.DataFrame({"tile": pdf["tile"].iloc[0], "block": range(len(parts)), "ids": [ids] * len(parts), "vs": parts})
+
+    return rows.select("id", "v", _tile_of(tiles).alias("tile")).groupBy("tile").applyInPandas(pack, "tile int, block int, ids binary, vs binary")
+
+
+def _spread(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def _at_nodes(asked: DataFrame, held: DataFrame, q_tiles: int, o_tiles: int) -> DataFrame:
+    """Each node with each query tile of a group: query tiles go to all object tiles, object tiles to all groups."""
+    groups = -(-q_tiles // GROUP)
+    left = asked.withColumn("ot", _spread(o_tiles)).withColumn("qg", F.floor(F.col("qt") / F.lit(GROUP)).cast("int"))
+    right = held.select(F.col("tile").alias("ot"), "block", F.col("ids").alias("o_ids"), F.col("vs").alias("o_vs")).withColumn("qg", _spread(groups))
+    return left.join(right, ["ot", "block", "qg"])
+
+
+def _per_node(f: Callable[..., pd.DataFrame], *given: object) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                yield f(r, *given)
+
+    return run
+
+
+def _slice(ids: bytes, vs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    own = np.frombuffer(ids, np.int64)
+    return own, np.frombuffer(vs, np.float32).reshape(len(own), -1)
+
+
+def _local_list(r, k: int) -> pd.DataFrame:
+    """Phase 1 at a node: the k + 1 best part scores of each query."""
+    (q_ids, q), (o_ids, o) = _slice(r.q_ids, r.q_vs), _slice(r.o_ids, r.o_vs)
+    most, found = min(k + 1, len(o_ids)), []
+    for s in range(0, len(q), ROWS):
+        part = q[s : s + ROWS] @ o.T
+        at = np.argpartition(part, len(o_ids) - most, axis=1)[:, len(o_ids) - most :] if most < len(o_ids) else np.tile(np.arange(most), (len(part), 1))
+        found.append((np.repeat(q_ids[s : s + ROWS], most), o_ids[at.ravel()], np.take_along_axis(part, at, 1).ravel()))
+    a, b, c = (np.concatenate(x) for x in zip(*found))
+    return pd.DataFrame({"q": a, "block": np.int32(r.block), "o": b, "part": c})
+
+
+def _entries(r, blocks: int) -> pd.DataFrame:
+    """Phase 2 at a node: what reaches the query's share of its cutoff."""
+    (q_ids, q), (o_ids, o) = _slice(r.q_ids, r.q_vs), _slice(r.o_ids, r.o_vs)
+    share = ((np.frombuffer(r.cutoffs, np.float64) - SLACK) / blocks).astype(np.float32)
+    found = []
+    for s in range(0, len(q), ROWS):
+        part = q[s : s + ROWS] @ o.T
+        qi, oi = np.nonzero(part >= share[s : s + ROWS, None])
+        found.append((q_ids[qi + s], o_ids[oi], part[qi, oi], share[qi + s]))
+    a, b, c, e = (np.concatenate(x) for x in zip(*found))
+    return pd.DataFrame({"q": a, "o": b, "part": c, "share": e})
+
+
+def _pack_cutoffs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The cutoffs of a tile's queries in the order of its ids."""
+    return pd.DataFrame({"qt": [pdf["qt"].iloc[0]], "cutoffs": [pdf.sort_values("id")["cutoff"].to_numpy(np.float64).tobytes()]})
+
+
+def full_scores(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """(q, o, score) of pairs of objects, in double precision; equal vectors get equal scores wherever they stand."""
+
+    def rows(column: pa.Array, n: int) -> np.ndarray:
+        return _unit(column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            score = (rows(b.column("qv"), n) * rows(b.column("ov"), n)).sum(axis=1) if n else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column("q"), b.column("o"), pa.array(score)], names=["q", "o", "score"])
+
+    asked = found.where("asked").select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    both = pairs.select("q", "o").join(asked, "q").join(found.select(F.col("id").alias("o"), F.col("v").alias("ov")), "o")
+    return both.select("q", "o", "qv", "ov").mapInArrow(run, "q bigint, o bigint, score double")
+
+
+# --- the search -------------------------------------------------------------------------------------------------------
+
+
+def candidates(found: DataFrame, n: int, n_queries: int, d: int, k: int, tile: int = TILE, query_tile: int = QUERY_TILE) -> DataFrame:
+    """(q, o, score): for each object that is asked for, the objects that can be among its k + 1 best ids; the outcome of all three phases."""
+    o_tiles, q_tiles = max(1, -(-n // tile)), max(1, -(-n_queries // query_tile))
+    held = cut(slices(found, o_tiles, d))
+    asked = cut(slices(found.where("asked"), q_tiles, d)).select(F.col("tile").alias("qt"), "block", F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"))
+
+    lists = _at_nodes(asked, held, q_tiles, o_tiles).mapInPandas(_per_node(_local_list, k), "q bigint, block int, o bigint, part float")
+    best = F.row_number().over(Window.partitionBy("q", "block").orderBy(F.desc("part"), "o"))
+    known = full_scores(lists.withColumn("place", best).where(F.col("place") <= k + 1).select("q", "o").distinct(), found)
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "o"))
+    cutoff = F.when(F.count("*") == k + 1, F.min("score")).otherwise(F.lit(-2.0))
+    cutoffs = cut(known.withColumn("place", place).where(F.col("place") <= k + 1).groupBy(F.col("q").alias("id")).agg(cutoff.alias("cutoff")))
+
+    packed = cutoffs.withColumn("qt", _tile_of(q_tiles)).groupBy("qt").applyInPandas(_pack_cutoffs, "qt int, cutoffs binary")
+    n_blocks = len(_blocks(d))
+    sent = _at_nodes(asked.join(packed, "qt"), held, q_tiles, o_tiles).mapInPandas(_per_node(_entries, n_blocks), "q bigint, o bigint, part float, share float")
+    added = sent.groupBy("q", "o").agg((F.sum("part") + F.first("share") * (F.lit(n_blocks) - F.count("*"))).alias("most"))
+    held_on = added.join(cutoffs.withColumnRenamed("id", "q"), "q").where(F.col("most") >= F.col("cutoff") - F.lit(2 * SLACK))
+
+    return full_scores(held_on, found).join(cutoffs.withColumnRenamed("id", "q"), "q").where(F.col("score") >= F.col("cutoff") - F.lit(1e-12)).select("q", "o", "score")
 
 
-def _exact(q: np.ndarray, o: np.ndarray, qi: np.ndarray, oi: np.ndarray) -> np.ndarray:
-    """Full scores of pairs in double precision; equal vectors get equal scores wherever they stand."""
-    out = np.empty(len(qi))
-    for s in range(0, len(qi), 65536):
-        out[s : s + 65536] = (q[qi[s : s + 65536]] * o[oi[s : s + 65536]]).sum(axis=1)
-    return out
-
-
-def _best(qi: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Rows of the k best of each query, by score and then id."""
-    order = np.lexsort((ids, -score, qi))
-    sorted_q = qi[order]
-    start = np.flatnonzero(np.append(True, sorted_q[1:] != sorted_q[:-1])) if len(order) else np.zeros(0, int)
-    place = np.arange(len(order)) - np.repeat(start, np.diff(start, append=len(order)))
-    return order[place < k]
-
-
-def _local_lists(pdf: pd.DataFrame, d: int, k: int) -> pd.DataFrame:
-    """Phase 1 for one pair of tiles: the best full scores among the vectors that the local lists name."""
-    out_id, out_score = [], []
-    for r in pdf.itertuples():
-        q_ids, o_ids, q, o = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.o_ids, np.int64), _unit(r.q_vs, d), _unit(r.o_vs, d)
-        q32, o32, most = q.astype(np.float32), o.astype(np.float32), min(k + 1, len(o_ids))
-        for s in range(0, len(q), ROWS):
-            own = q32[s : s + ROWS]
-            n = len(own)
-            named = []
-            for b in _blocks(d):
-                part = own[:, b] @ o32[:, b].T
-                named.append(np.argpartition(-part, most - 1, axis=1)[:, :most] if most < len(o_ids) else np.tile(np.arange(most), (n, 1)))
-            pair = np.unique((np.arange(s, s + n)[:, None] * len(o_ids) + np.concatenate(named, axis=1)).ravel())
-            qi, oi = pair // len(o_ids), pair % len(o_ids)
-            other = q_ids[qi] != o_ids[oi]
-            qi, oi = qi[other], oi[other]
-            score = _exact(q, o, qi, oi)
-            keep = _best(qi, o_ids[oi], score, k)
-            out_id.append(q_ids[qi[keep]])
-            out_score.append(score[keep])
-    return pd.DataFrame({"id": np.concatenate(out_id) if out_id else np.zeros(0, np.int64), "score": np.concatenate(out_score) if out_score else np.zeros(0)})
-
-
-def _resolve(pdf: pd.DataFrame, d: int, k: int) -> pd.DataFrame:
-    """Phases 2 and 3 for one pair of tiles: the entries at or above the cutoff, and the best of their full scores."""
-    found: list[list[np.ndarray]] = [[], [], []]
-    for r in pdf.itertuples():
-        q_ids, o_ids, q, o = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.o_ids, np.int64), _unit(r.q_vs, d), _unit(r.o_vs, d)
-        bound = np.frombuffer(r.bounds, np.float64)
-        q32, o32, blocks = q.astype(np.float32), o.astype(np.float32), _blocks(d)
-        for s in range(0, len(q), ROWS):
-            low = bound[s : s + ROWS, None] - SLACK
-            cutoff = (low / len(blocks)).astype(np.float32) - np.float32(SLACK)
-            parts = [q32[s : s + ROWS, b] @ o32[:, b].T for b in blocks]
-            sent = np.logical_or.reduce([p >= cutoff for p in parts])
-            qi, oi = np.nonzero(sent)
-            t = cutoff[qi, 0]
-            most = sum(np.where(p[qi, oi] >= t, p[qi, oi], t) for p in parts)
-            hold = most >= low[qi, 0] - SLACK
-            qi, oi = qi[hold] + s, oi[hold]
-            other = q_ids[qi] != o_ids[oi]
-            qi, oi = qi[other], oi[other]
-            score = _exact(q, o, qi, oi)
-            high = score >= bound[qi] - 1e-12
-            qi, oi, score = qi[high], oi[high], score[high]
-            keep = _best(qi, o_ids[oi], score, k)
-            for to, x in zip(found, (q_ids[qi[keep]], o_ids[oi[keep]], score[keep])):
-                to.append(x)
-    kinds = (np.int64, np.int64, np.float64)
-    a, b, c = (np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(found, kinds))
-    return pd.DataFrame({"id": a, "neighbor": b, "score": c})
-
-
-def _pack_bounds(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The bounds of a tile's queries in the order of its ids."""
-    return pd.DataFrame({"qt": [pdf["qt"].iloc[0]], "bounds": [pdf.sort_values("id")["bound"].to_numpy(np.float64).tobytes()]})
-
-
-def top_k(df: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", tile: int = TILE) -> DataFrame:
-    """(id, rank, neighbor, score): for every vector its k nearest others by cosine."""
+def top_k(df: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", every: int = EVERY, tile: int = TILE, query_tile: int = QUERY_TILE) -> DataFrame:
+    """(id, rank, neighbor, score): the k nearest others by cosine of every row whose id is divisible by every, among all rows."""
     rows, n, d = vectors(df, id_col, vec_col)
-    n_tiles = max(1, -(-n // tile))
-    packed = cut(tiles(rows, n_tiles))
-    numbers = F.array([F.lit(i) for i in range(n_tiles)]) if n_tiles <= 64 else F.sequence(F.lit(0), F.lit(n_tiles - 1))
-    queries = packed.select(F.col("tile").alias("qt"), F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"), F.explode(numbers).alias("ot"))
-    objects = packed.select(F.col("tile").alias("ot"), F.col("ids").alias("o_ids"), F.col("vs").alias("o_vs"), F.explode(numbers).alias("qt"))
-    one = lambda f, *a: lambda batches: (f(b, *a) for b in batches)
-    small_batches(df.sparkSession)
-    lists = queries.join(objects, ["qt", "ot"]).mapInPandas(one(_local_lists, d, k), "id bigint, score double")
-    gathered = lists.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score")))).where(F.col("place") <= k)
-    bound = F.when(F.count("*") == k, F.min("score")).otherwise(F.lit(-2.0))
-    bounds = gathered.groupBy("id").agg(bound.alias("bound")).withColumn("qt", _tile_of(n_tiles)).groupBy("qt").applyInPandas(_pack_bounds, "qt int, bounds binary")
-    found = queries.join(bounds, "qt").join(objects, ["qt", "ot"]).mapInPandas(one(_resolve, d, k), "id bigint, neighbor bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "neighbor"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "neighbor", "score")
+    found, queries = objects(rows, k, F.col("id") % F.lit(every) == 0)
+    got = candidates(found, n, -(-n // every), d, k, tile, query_tile)
+    ids = got.join(found.select(F.col("id").alias("o"), "ids"), "o").select("q", "score", F.explode("ids").alias("neighbor"))
+    near = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "neighbor"))
+    nearest = ids.withColumn("near", near).where(F.col("near") <= k + 1)
+    lists = queries.join(nearest, F.col("object") == F.col("q")).where(F.col("query") != F.col("neighbor"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("near"))
+    return lists.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query").alias("id"), "rank", "neighbor", "score")
 
 
 ORACLE_SQL = f"""
 SELECT vec_id, rank, neighbor_id, round(s, 6) AS score FROM (
   SELECT a.vec_id, b.vec_id AS neighbor_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s,
     CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, b.vec_id) AS INTEGER) AS rank
-  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % {EVERY} = 0)
 WHERE rank <= {K}
 """

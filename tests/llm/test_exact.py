@@ -309,30 +309,52 @@ def test_bpe_edges(edges, no_docs):
 # --- top-k ---
 
 
-def slow_top(rows, k):
+def slow_top(rows, k, every):
     x = {i: np.asarray(np.asarray(v, np.float32), float) for i, v in rows}
     unit = {i: v / np.linalg.norm(v) if np.linalg.norm(v) else v for i, v in x.items()}
     out = []
     for i in x:
-        s = sorted(((-float((unit[i] * unit[j]).sum()), j) for j in x if j != i))
-        out += [(i, r + 1, j) for r, (_, j) in enumerate(s[:k])]
+        if i % every == 0:
+            s = sorted(((-float((unit[i] * unit[j]).sum()), j) for j in x if j != i))
+            out += [(i, r + 1, j) for r, (_, j) in enumerate(s[:k])]
     return sorted(out)
 
 
-@pytest.mark.parametrize("n, d, k, tile", [(60, 8, 3, 16), (40, 3, 5, 7), (5, 4, 10, 8192), (1, 4, 3, 4), (2, 1, 1, 1)])
-def test_topk_equals_brute_force(spark, n, d, k, tile):
+@pytest.mark.parametrize("n, d, k, every, tile, query_tile", [(60, 8, 3, 1, 16, 5), (60, 8, 4, 3, 13, 8), (40, 3, 5, 2, 7, 3), (5, 4, 10, 1, 8192, 2048), (1, 4, 3, 1, 4, 4), (2, 1, 1, 1, 1, 1)])
+def test_topk_equals_brute_force(spark, n, d, k, every, tile, query_tile):
     rng = np.random.default_rng(n)
     rows = [(i, rng.standard_normal(d).round(1).tolist()) for i in range(n)]
     rows += [(100 + i, rows[i][1]) for i in range(min(5, n - 1))] + ([(200, [0.0] * d)] if n > 5 else [])
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
-    got = sorted((r["id"], r["rank"], r["neighbor"]) for r in topk.top_k(df, k, tile=tile).collect())
-    assert got == slow_top(rows, k)
+    got = sorted((r["id"], r["rank"], r["neighbor"]) for r in topk.top_k(df, k, every=every, tile=tile, query_tile=query_tile).collect())
+    assert got == slow_top(rows, k, every)
+
+
+def test_topk_groups_of_copies_and_of_query_tiles(spark, monkeypatch):
+    monkeypatch.setattr(topk, "GROUP", 2)
+    rng = np.random.default_rng(9)
+    rows = [(i, [1.0, 2.0, -1.0, 0.5] if i % 3 else rng.standard_normal(4).round(1).tolist()) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted((r["id"], r["rank"], r["neighbor"]) for r in topk.top_k(df, 4, every=2, tile=11, query_tile=4).collect())
+    assert got == slow_top(rows, 4, 2)
+    found, _ = topk.objects(topk.vectors(df)[0], 4, F.lit(True))
+    assert found.count() < 35 and max(len(r["ids"]) for r in found.collect()) == 5
+
+
+def test_topk_cutoff_prunes(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found, _ = topk.objects(topk.vectors(df)[0], 5, F.col("id") % 4 == 0)
+    left = topk.candidates(found, 400, 100, 16, 5, tile=100, query_tile=40).count()
+    assert 100 * 6 <= left < 100 * 400 * 0.05
 
 
 def test_topk_edges(spark):
     rows = [(1, [1.0, 0.0], "x"), (2, [1.0, 0.0], "x"), (2, [1.0, 0.0], "x"), (3, None, "x"), (None, [1.0, 1.0], "x"), (4, [1.0, None], "x"), (5, [float("nan"), 1.0], "x"), (6, [1.0, 2.0, 3.0], "x"), (7, [0.0, 0.0], None), (8, [], None)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, score string").withColumn("rank", F.lit("r")).withColumn("tile", F.lit(1))
-    got = {(r["id"], r["rank"]): (r["neighbor"], r["score"]) for r in topk.top_k(df, 5).collect()}
+    with pytest.warns(UserWarning, match="1 vectors"):
+        got = {(r["id"], r["rank"]): (r["neighbor"], r["score"]) for r in topk.top_k(df, 5, every=1).collect()}
     assert got == {(1, 1): (2, 1.0), (1, 2): (7, 0.0), (2, 1): (1, 1.0), (2, 2): (7, 0.0), (7, 1): (1, 0.0), (7, 2): (2, 0.0)}
     assert topk.top_k(df.limit(0)).count() == 0
 
