@@ -203,6 +203,8 @@ def solve(members: DataFrame, targets: list[float], iterations: int = ITERATIONS
     the weighted metric helps, as with a domain that has hardly any mass, the plain gradient with the step 1 / L can't overshoot.
     """
     d = len(targets)
+    if not all(np.isfinite(t) and t >= 0 for t in targets) or sum(targets) <= 0:
+        raise ValueError("targets must be nonnegative numbers, not all of them 0")
     n, p = F.col("n_tokens").cast("double"), [F.element_at("posterior", k + 1) for k in range(d)]
     first = members.agg(F.sum("n_tokens").alias("n"), *[F.sum(n * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(d) for j in range(i + 1)]).first()
     budget = float(first["n"] or 0)
@@ -236,8 +238,14 @@ def _descend(members: DataFrame, want: np.ndarray, inverse: np.ndarray, iteratio
     return steps[: int(np.argmin(misses))], misses
 
 
+def _check(model: Posterior, targets: list[float]) -> None:
+    if len(targets) != len(model.bias):
+        raise ValueError(f"{len(model.bias)} targets are needed, one for each domain")
+
+
 def rates(docs: DataFrame, model: Posterior, targets: list[float]) -> DataFrame:
     """(doc_id, n_tokens, posterior, rate) of every row."""
+    _check(model, targets)
     members = cut(memberships(docs, model))
     steps, _ = solve(members, targets)
     return members.withColumn("rate", F.round(rate_column(F.col("n_tokens"), F.col("posterior"), steps), 6))
@@ -261,8 +269,10 @@ def mix(docs: DataFrame, model: Posterior, targets: list[float], keep: int | Non
 
     keep: a domain that doesn't lose: its target is at least its share, and documents that belong to it most have a rate of at least 1.
 
+    Rows with the same id and text, repeated ones too, share one chance: each is there as often as the other.
     The texts are classified twice, once for the totals and once where the rows are written, so that no text is shuffled.
     """
+    _check(model, targets)
     members = cut(memberships(docs, model))
     steps, _ = solve(members, targets if keep is None else raised(members, targets, keep))
     m, copies = fresh(docs, "cumulo_m"), fresh(docs, "cumulo_copies")

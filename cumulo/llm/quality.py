@@ -190,15 +190,17 @@ def train(texts: list[str | None], good: list[int], epochs: int = 10, batch: int
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS) -> pd.DataFrame:
-    """(doc_id, text, label) of at most max_rows labelled ids, in an order that doesn't depend on partitions.
+    """(doc_id, text, label) of at most max_rows labelled ids that have a text, in an order that doesn't depend on partitions.
 
-    The picked labels are at most max_rows rows whatever the input, so that they can be broadcast. An id with
-    several labels counts with the lowest; an id with several texts with the first in order.
+    The ids are picked among those with a text, so fewer than max_rows come only where there are no more; they are at most max_rows whatever the input,
+    so that they can be broadcast. An id with several labels counts with the lowest; an id with several texts with the first in order, which is
+    found where the rows are: the driver gets a row per picked id.
     """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias("cumulo_label"))
-    picked = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id").toPandas()
-    return rows.sort_values(["doc_id", "text"]).drop_duplicates("doc_id").reset_index(drop=True)
+    with_text = docs.where(F.col("text").isNotNull()).select("doc_id")
+    picked = ids.join(with_text, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("cumulo_label").alias("cumulo_label")).toPandas().sort_values("doc_id").reset_index(drop=True)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> Net:

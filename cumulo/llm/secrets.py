@@ -5,6 +5,14 @@ paths hold it. The ledger lists the (blob, rule, rule version) triples that have
 finding. A scan looks only at triples the ledger lacks: a new blob meets all rules, a known blob only the rules
 whose version changed. Findings are kept by blob and joined back to every path that holds it.
 
+A Store keeps the ledger and the findings as Parquet in a shared folder: each scan is written once, with what it settled and
+what it found in the same rows, and a scan that is lost midway leaves nothing behind that counts.
+
+A match holds one of its rule's literals, so a text without any literal is settled without being moved: only its blob id is
+shuffled, and the few texts that hold one are scanned once per blob.
+
+redact() replaces the places of the secrets in a single pass over the rows. Places that overlap are one, named for the longest.
+
 Defined cases: a null text is no version and is skipped; an empty text is a blob without findings; a null path id
 is carried as null; repeated rows are paths of their own, so a repeated row repeats its findings; an empty table
 gives empty results; other columns of the table are ignored and can have any name.
@@ -12,15 +20,22 @@ gives empty results; other columns of the table are ignored and can have any nam
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cumulo.session import cut, shared_dir
+
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern: its group 1 is the secret; the syntax is what Java and RE2 share. literals: a match holds one of them."""
+    """pattern: its group 1 is the secret, up to its own end; the syntax is what Java, Python and RE2 share. literals: a match holds one of them."""
 
     name: str
     version: int
@@ -30,39 +45,33 @@ class Rule:
 
 _WORDS = ("token", "Token", "TOKEN", "secret", "Secret", "SECRET", "password", "Password", "PASSWORD", "api_key", "API_KEY", "apikey", "apiKey")
 
-#: The rules that oracle_sql() covers.
-BOUNDED = (
-    Rule("assigned_credential", 1, r"""(?:^|[^A-Za-z0-9])(?:""" + "|".join(_WORDS) + r""")["']?[ \t]*[=:][ \t]*["']([^"'\s]{12,200})["']""", _WORDS),
+RULES = (
+    Rule("assigned_credential", 2, r"""(?:^|[^A-Za-z0-9])(?:""" + "|".join(_WORDS) + r""")["']?[ \t]*[=:][ \t]*["']([^"'\s]{12,})["']""", _WORDS),
     Rule("aws_access_key", 1, r"(?:^|[^A-Za-z0-9])((?:AKIA|ASIA)[0-9A-Z]{16})", ("AKIA", "ASIA")),
-    Rule("git_host_token", 1, r"((?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36})", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
-    Rule("chat_token", 1, r"(xox[abprs]-[A-Za-z0-9-]{10,72})", ("xox",)),
-    Rule("maps_api_key", 1, r"(AIza[0-9A-Za-z_-]{35})", ("AIza",)),
-    Rule("payment_key", 1, r"(?:^|[^A-Za-z0-9])([sr]k_(?:live|test)_[A-Za-z0-9]{16,64})", ("_live_", "_test_")),
+    Rule("git_host_token", 1, r"((?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,})", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
+    Rule("chat_token", 2, r"(xox[abprs]-[A-Za-z0-9-]{10,})", ("xox",)),
+    Rule("maps_api_key", 1, r"(AIza[0-9A-Za-z_-]{35,})", ("AIza",)),
+    Rule("payment_key", 2, r"(?:^|[^A-Za-z0-9])([sr]k_(?:live|test)_[A-Za-z0-9]{16,})", ("_live_", "_test_")),
     Rule("web_token", 1, r"(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", ("eyJ",)),
-    Rule("private_key", 1, r"(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)", ("PRIVATE KEY-----",)),
-    Rule("uri_password", 1, r"[a-z]://[^\s:/@]{1,64}:([^\s:/@]{4,64})@", ("://",)),
+    Rule("private_key", 2, r"(-----BEGIN [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----(?:(?s:.*?)-----END [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----|(?s:.*)))", ("PRIVATE KEY",)),
+    Rule("uri_password", 2, r"[a-z]://[^\s:/@]*:([^\s:/@]+)@", ("://",)),
 )
+#: The rules as they were before their upper bounds went; a ledger of that time has these versions.
+EARLIER = tuple(Rule(r.name, 1, r.pattern, r.literals) for r in RULES)
 
-#: What BOUNDED cuts or leaves out: key blocks up to their END line (or the end of the text), and secrets beyond the bounds. The short
-#: password is taken with the signs around it, as redact() replaces a secret wherever the text holds it.
-WHOLE = (
-    Rule("private_key_block", 1, r"(-----BEGIN [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----(?s:.*?)(?:-----END [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----|$))", ("PRIVATE KEY",)),
-    Rule("assigned_credential_long", 1, BOUNDED[0].pattern.replace("{12,200}", "{201,}"), _WORDS),
-    Rule("chat_token_long", 1, r"(xox[abprs]-[A-Za-z0-9-]{73,})", ("xox",)),
-    Rule("payment_key_long", 1, r"(?:^|[^A-Za-z0-9])([sr]k_(?:live|test)_[A-Za-z0-9]{65,})", ("_live_", "_test_")),
-    Rule("uri_password_long", 1, r"[a-z]://[^\s:/@]*:([^\s:/@]{65,})@", ("://",)),
-    Rule("uri_password_short", 1, r"[a-z]://[^\s:/@]*(:[^\s:/@]{1,3}@)", ("://",)),
-)
-RULES = BOUNDED + WHOLE
+
+def _holds(text: str, rules: tuple[Rule, ...]) -> Column:
+    """Whether the text holds a literal of any of the rules."""
+    any_literal = F.lit(False)
+    for literal in dict.fromkeys(x for r in rules for x in r.literals):
+        any_literal = any_literal | F.contains(F.col(text), F.lit(literal))
+    return any_literal
 
 
 def _matches(text: str, rule: Rule) -> Column:
     """The rule's secrets in a text. The literals are looked for first, which costs far less than the pattern."""
-    any_literal = F.lit(False)
-    for literal in rule.literals:
-        any_literal = any_literal | F.contains(F.col(text), F.lit(literal))
     none = F.array().cast("array<string>")
-    return F.when(any_literal, F.regexp_extract_all(F.col(text), F.lit(rule.pattern), F.lit(1))).otherwise(none)
+    return F.when(_holds(text, (rule,)), F.regexp_extract_all(F.col(text), F.lit(rule.pattern), F.lit(1))).otherwise(none)
 
 
 def blob_id(text: str) -> Column:
@@ -75,8 +84,12 @@ def paths(docs: DataFrame, path: str = "doc_id", text: str = "text") -> DataFram
 
 
 def unseen(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """(blob, content, todo): each distinct blob once, with the numbers of the rules it hasn't met in their version."""
-    blobs = docs.where(F.col(text).isNotNull()).select(blob_id(text).alias("blob"), F.col(text).alias("content")).dropDuplicates(["blob"])
+    """(blob, content, todo): each distinct blob once, with the numbers of the rules it hasn't met in their version.
+
+    content is null where the text holds no rule's literal, so that nothing but the id of such a blob moves.
+    """
+    content = F.when(_holds(text, rules), F.col(text))
+    blobs = docs.where(F.col(text).isNotNull()).select(blob_id(text).alias("blob"), content.alias("content")).groupBy("blob").agg(F.max("content").alias("content"))
     everything = F.array(*[F.lit(i) for i in range(len(rules))]).cast("array<int>")
     if ledger is None:
         return blobs.withColumn("todo", everything)
@@ -88,65 +101,138 @@ def unseen(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] =
     return blobs.join(met, "blob", "left").select("blob", "content", left.alias("todo")).where(F.size("todo") > 0)
 
 
-def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, rule, rule_version, match_no, secret) of the blobs from unseen(), each against its own rules only."""
+def scanned(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, todo, hits) of the blobs from unseen(): todo has the rules settled by this scan, (rule, rule_version); hits what they found."""
     none = F.array().cast("array<string>")
     hits = [
-        F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("rule_version"), F.when(F.array_contains("todo", F.lit(i)), _matches("content", r)).otherwise(none).alias("secrets"))
+        F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("rule_version"), F.when(F.col("content").isNotNull() & F.array_contains("todo", F.lit(i)), _matches("content", r)).otherwise(none).alias("secrets"))
         for i, r in enumerate(rules)
     ]
-    found = blobs.select("blob", F.filter(F.array(*hits), lambda h: F.size(h["secrets"]) > 0).alias("hits")).where(F.size("hits") > 0)
-    by_rule = found.select("blob", F.explode("hits").alias("h"))
+    names = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("rule_version")) for r in rules])
+    return blobs.select("blob", F.transform("todo", lambda n: F.element_at(names, n + 1)).alias("todo"), F.filter(F.array(*hits), lambda h: F.size(h["secrets"]) > 0).alias("hits"))
+
+
+def findings(scans: DataFrame) -> DataFrame:
+    """(blob, rule, rule_version, match_no, secret) of scanned()."""
+    by_rule = scans.select("blob", F.explode("hits").alias("h"))
     return by_rule.select("blob", "h.rule", "h.rule_version", F.posexplode("h.secrets").alias("at", "secret")).select("blob", "rule", "rule_version", (F.col("at") + 1).alias("match_no"), "secret")
 
 
-def ledger_entries(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, rule, rule_version) that scanning these blobs settles, to be appended to the ledger."""
-    names = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("rule_version")) for r in rules])
-    return blobs.select("blob", F.explode("todo").alias("n")).select("blob", F.element_at(names, F.col("n") + 1).alias("r")).select("blob", "r.rule", "r.rule_version")
+def ledger_entries(scans: DataFrame) -> DataFrame:
+    """(blob, rule, rule_version) that scanned() settled."""
+    return scans.select("blob", F.explode("todo").alias("r")).select("blob", "r.rule", "r.rule_version")
+
+
+def _current(found: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Findings of rule versions that are still in force."""
+    current = F.lit(False)
+    for r in rules:
+        current = current | ((F.col("rule") == r.name) & (F.col("rule_version") == r.version))
+    return found.where(current)
+
+
+class Store:
+    """Ledger and findings in a folder that all executors share; each scan adds files that are complete or not there."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def scans(self) -> DataFrame | None:
+        """All scans so far, (blob, todo, hits)."""
+        try:
+            return self.spark.read.parquet(self.folder)
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
+
+    def scan(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text") -> DataFrame:
+        """Scans what the ledger lacks, writes it, and returns the findings of all paths of docs under these rules."""
+        before = self.scans()
+        blobs = unseen(docs, None if before is None else ledger_entries(before), rules, text)
+        scanned(blobs, rules).write.mode("append").parquet(self.folder)
+        return paths(docs, path, text).join(_current(findings(self.scans()), rules), "blob")
 
 
 def scan_incremental(
     docs: DataFrame, ledger: DataFrame | None = None, known: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text"
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(findings by path, new findings by blob, new ledger entries).
+    """(findings by path, new findings by blob, new ledger entries), for callers that keep the ledger themselves; the scan itself runs once.
 
     known: the findings by blob of earlier scans. Those of a rule version no longer among the rules don't count.
     """
-    blobs = unseen(docs, ledger, rules, text)
-    new = scan(blobs, rules)
-    by_blob = new
-    if known is not None:
-        current = F.lit(False)
-        for r in rules:
-            current = current | ((F.col("rule") == r.name) & (F.col("rule_version") == r.version))
-        by_blob = known.where(current).select(*new.columns).unionByName(new)
-    return paths(docs, path, text).join(by_blob, "blob"), new, ledger_entries(blobs, rules)
+    scans = cut(scanned(unseen(docs, ledger, rules, text), rules))
+    new = findings(scans)
+    by_blob = new if known is None else _current(known, rules).select(*new.columns).unionByName(new)
+    return paths(docs, path, text).join(by_blob, "blob"), new, ledger_entries(scans)
+
+
+def _digests(found: DataFrame) -> DataFrame:
+    return found.select(F.col("path").alias("doc_id"), "blob", "rule", "rule_version", "match_no", F.sha2(F.col("secret"), 256).alias("secret_sha256"))
 
 
 def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Findings of a first scan by path, with the secret's digest in the secret's place."""
-    found, _, _ = scan_incremental(docs, rules=rules)
-    return found.select(F.col("path").alias("doc_id"), "blob", "rule", "rule_version", "match_no", F.sha2(F.col("secret"), 256).alias("secret_sha256"))
+    return _digests(scan_incremental(docs, rules=rules)[0])
+
+
+def report_in_two_scans(docs: DataFrame, first: Column) -> DataFrame:
+    """report() of the whole table by two scans of one ledger: the versions of the first crawl under the EARLIER rules, then the table as
+    it is now under RULES. The second scan meets new blobs with all rules, and known ones with the rules whose version rose."""
+    store = Store(docs.sparkSession, f"{shared_dir(docs.sparkSession)}/secret-ledger-{uuid.uuid4().hex}")
+    store.scan(docs.where(first), EARLIER)
+    return _digests(store.scan(docs))
+
+
+# --- redaction --------------------------------------------------------------------------------------------------------
+
+
+def places(text: str, compiled: list[tuple[str, re.Pattern]]) -> list[tuple[int, int, str]]:
+    """(start, end, rule) of the secrets, in order; places that overlap are one, named for the longest (of equal ones the first rule)."""
+    found = sorted((*m.span(1), -i, name) for i, (name, p) in enumerate(compiled) for m in p.finditer(text))
+    out: list[tuple[int, int, str, int]] = []
+    for start, end, _, name in sorted(found, key=lambda x: (x[0], -x[1], -x[2])):
+        if out and start < out[-1][1]:
+            s, e, other, longest = out[-1]
+            out[-1] = (s, max(e, end), name if end - start > longest else other, max(longest, end - start))
+        else:
+            out.append((start, end, name, end - start))
+    return [x[:3] for x in out]
+
+
+def redacted(text: str, compiled: list[tuple[str, re.Pattern]]) -> str:
+    parts, at = [], 0
+    for start, end, name in places(text, compiled):
+        parts += [text[at:start], f"[SECRET:{name}]"]
+        at = end
+    return "".join([*parts, text[at:]])
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", length: str = "n_chars") -> DataFrame:
-    """docs with each secret replaced by [SECRET:rule]; all rows and columns stay, and the length column follows the text.
+    """docs with each secret's place replaced by [SECRET:rule]; all rows and columns stay, and the length column follows a text that changes.
 
-    A secret is replaced wherever its blob holds it, longest first, so that one inside another leaves no rest.
+    Only texts that hold a literal go through Python; nothing is joined or shuffled.
     """
-    by_blob = scan(unseen(docs, None, rules, text), rules).groupBy("blob").agg(F.collect_set(F.struct((-F.length("secret")).alias("n"), "secret", "rule")).alias("found"))
-    key, found = "cumulo_blob_key", "cumulo_blob_found"
-    side = by_blob.select(F.col("blob").alias(key), F.sort_array("found").alias(found))
-    joined = docs.withColumn(key, blob_id(text)).join(side, key, "left")
-    clean = F.aggregate(F.col(found), F.col(text), lambda acc, s: F.replace(acc, s["secret"], F.concat(F.lit("[SECRET:"), s["rule"], F.lit("]"))))
-    out = joined.withColumn(text, F.when(F.col(found).isNull(), F.col(text)).otherwise(clean))
+    patterns = [(r.name, r.pattern) for r in rules]
+
+    @F.pandas_udf("string")
+    def replaced(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        compiled = [(name, re.compile(p, re.ASCII)) for name, p in patterns]
+        for texts in batches:
+            yield pd.Series([None if t is None else redacted(t, compiled) for t in texts], dtype=object)
+
+    names = {c.lower() for c in docs.columns}
+    new = "cumulo_redacted"
+    while new in names:
+        new += "_"
+    out = docs.withColumn(new, replaced(F.when(_holds(text, rules), F.col(text))))
+    changed = F.col(new).isNotNull() & (F.col(new) != F.col(text))
     if length in docs.columns:
-        out = out.withColumn(length, F.when(F.col(found).isNull(), F.col(length)).otherwise(F.length(text).cast(docs.schema[length].dataType)))
-    return out.select(*docs.columns)
+        out = out.withColumn(length, F.when(changed, F.length(new).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
+    return out.withColumn(text, F.coalesce(new, text)).select(*docs.columns)
 
 
-def oracle_sql(rules: tuple[Rule, ...] = BOUNDED) -> str:
+def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
     parts = []
     for r in rules:
         p = r.pattern.replace("'", "''")

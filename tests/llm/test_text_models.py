@@ -98,6 +98,19 @@ def test_quality_edges(edges, labels, no_docs, no_labels):
     assert free.constant == 1.0 and quality.filter_docs(edges, free).where("text IS NULL OR text = ''").count() == 0
 
 
+def test_labelled_rows_are_picked_among_the_documents(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "x") for i in range(100)] + [(7, "again", "x")] * 50 + [(200, None, "x")], "doc_id bigint, text string, label string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5000)], "doc_id bigint, quality int")
+    rows = quality.labelled(docs, labels, "quality", 2000)
+    assert len(rows) == 100 and rows["doc_id"].tolist() == list(range(100)) and rows["text"][7] == "again" and rows["cumulo_label"].tolist() == [i % 2 for i in range(100)]
+    assert len(quality.labelled(docs, labels, "quality", 30)) == 30
+
+
+def test_quality_of_one_class(spark, edges):
+    net = quality.fit(edges, spark.createDataFrame([(0, 0), (6, 0)], "doc_id bigint, quality int"))
+    assert net.constant == 0.0 and quality.filter_docs(edges, net).count() == 0
+
+
 # --- mixing ---
 
 
@@ -121,7 +134,8 @@ def test_mixing_rates_meet_the_targets(spark, targets):
     slow, want = slow_rates(tokens, post, targets)
     assert rate.min() >= 0
     slow_miss = np.abs((slow * tokens) @ post - want).sum() / want.sum()
-    assert np.abs((rate * tokens) @ post - want).sum() / want.sum() <= slow_miss + 0.01
+    miss = np.abs((rate * tokens) @ post - want).sum() / want.sum()
+    assert abs(miss - slow_miss) <= 0.01 and np.corrcoef(rate, slow)[0, 1] > 0.99
     assert len(steps) == int(np.argmin(misses))
 
 
@@ -154,6 +168,18 @@ def test_mixing_edges(edges, labels, no_docs, no_labels):
     assert list(rows[2]["posterior"]) == pytest.approx(model.prior, abs=1e-6)
     mixed = mixing.mix(edges, model, [0.8, 0.1, 0.1])
     assert mixed.columns == edges.columns
+    times = {}
+    for r in mixed.collect():
+        times[r["doc_id"], r["text"]] = times.get((r["doc_id"], r["text"]), 0) + 1
+    assert times[2, None] == times[3, ""] == times[None, None] == 1
+    for i, r in rows.items():
+        texts = {t for k, t in times if k == i}
+        for t in texts:
+            copies = 2 if i == 0 else 1
+            assert i is None or int(r["rate"]) * copies <= times[i, t] <= (int(r["rate"]) + 1) * copies and times[i, t] % copies == 0
+    for bad in ([0.5, 0.5], [0, 0, 0], [1, -1, 1]):
+        with pytest.raises(ValueError):
+            mixing.mix(edges, model, bad)
     assert mixing.rates(no_docs, model, [1, 1, 1]).count() == 0 and mixing.mix(no_docs, model, [1, 1, 1]).count() == 0
     assert mixing.fit(edges, mixing.label_domains(no_labels), 3).prior == pytest.approx(1 / 3)
 
