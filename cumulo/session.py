@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,7 @@ def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "cumulo
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -27,7 +29,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where it is unset (tests).
+    """The folder named in spark.checkpoint.dir; one of our own only where it is unset and the session is local (tests).
 
     A session can also have been given its folder through setCheckpointDir; that one is kept.
     """
@@ -37,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
         if not context._jsc.sc().getCheckpointDir().isDefined():
             context.setCheckpointDir(named)
     elif not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="cumulo-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -45,3 +49,10 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint in the shared folder: the lineage ends here, and a lost executor takes nothing along."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, for results of which several passes read a few columns each."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
