@@ -121,6 +121,20 @@ def test_sharding_schedule_is_the_heaps(seed):
     assert loads == [sum(s for s, j in zip(sizes, got) if j == k) for k in range(shards)]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_sharding_of_groups_is_the_heaps(spark, seed, monkeypatch):
+    monkeypatch.setattr(sharding, "STRETCH", 7)
+    monkeypatch.setattr(sharding, "PHASES", 3)
+    rng = random.Random(seed)
+    shards = rng.choice([3, 5, 16])
+    rows = [(None if i == 0 else f"k{i:04d}", rng.choice([0, 5, 5, 5, 5, rng.randint(1, 40)])) for i in range(400)]
+    got = {r["key"]: (r["size"], r["shard"]) for r in sharding.shard_groups(spark.createDataFrame(rows, "key string, size bigint"), shards).collect()}
+    order = sorted(rows, key=lambda r: (-r[1], r[0] or ""))
+    placed = dict(zip((k for k, _ in order), slow_lpt([s for _, s in order], shards)))
+    assert len(got) == 400 and all(got[k] == (s, placed[k]) for k, s in rows if s)
+    assert len({got[k][1] for k, s in rows if not s}) == 1
+
+
 def test_sharding_edges(edges, no_docs, spark):
     rows = sharding.shard_copies(edges, 3).collect()
     assert len(rows) == edges.count()
@@ -150,7 +164,7 @@ def render(template, **env):
         ("{% if a == 1 %}x{% elif a == 2 %}y{% else %}z{% endif %}", {"a": 2}, "y"),
         ("{%- set y = a ~ '!' -%} {{ y | upper }}", {"a": "hi"}, "HI!"),
         ("{{ a['b'] | default('none') | trim }}", {"a": {"b": None}}, "none"),
-        ("{{ 'x' if a in 'abc' else 'y' }}{{ a not in ['q'][0] if false else 'k' }}" if False else "{{ 'x' if a in 'abc' else 'y' }}", {"a": "b"}, "x"),
+        ("{{ 'x' if a in 'abc' else 'y' }}", {"a": "b"}, "x"),
         ("{# gone #}q {{- ' r ' | trim -}} s", {}, "qrs"),
         ("{{ m[0].role }}{{ m[-1].role }}{{ m[5] }}", {"m": [{"role": "u"}, {"role": "v"}]}, "uv"),
         ("{{ x | replace('a', 'b') | length }}{{ 7 // 2 }}{{ 7 % 4 }}{{ -3 + 1 }}", {"x": "banana"}, "633-2"),
@@ -172,8 +186,83 @@ def test_chat_refuses(bad):
         chat.compile_template(bad, ("ms",))
 
 
+CHATML = "{% for message in messages %}{{'<|im_start|>' + message['role'] + '\\n' + message['content'] + '<|im_end|>' + '\\n'}}{% endfor %}{% if add_generation_prompt %}{{ '<|im_start|>assistant\\n' }}{% endif %}"
+ZEPHYR = """{% for message in messages %}
+{% if message['role'] == 'user' %}
+{{ '<|user|>\\n' + message['content'] + eos_token }}
+{% elif message['role'] == 'system' %}
+{{ '<|system|>\\n' + message['content'] + eos_token }}
+{% elif message['role'] == 'assistant' %}
+{% generation %}{{ '<|assistant|>\\n'  + message['content'] + eos_token }}{% endgeneration %}
+{% endif %}
+{% if loop.last and add_generation_prompt %}
+{{ '<|assistant|>' }}
+{% endif %}
+{% endfor %}"""
+INST = (
+    "{% if messages[0]['role'] == 'system' %}{% set loop_messages = messages[1:] %}{% set system_message = messages[0]['content'] %}{% else %}{% set loop_messages = messages %}{% set system_message = false %}{% endif %}"
+    "{% for message in loop_messages %}{% if (message['role'] == 'user') != (loop.index0 % 2 == 0) %}{{ raise_exception('Conversation roles must alternate user/assistant/user/assistant/...') }}{% endif %}"
+    "{% if loop.index0 == 0 and system_message != false %}{% set content = '<<SYS>>\\n' + system_message + '\\n<</SYS>>\\n\\n' + message['content'] %}{% else %}{% set content = message['content'] %}{% endif %}"
+    "{% if message['role'] == 'user' %}{{ bos_token + '[INST] ' + content.strip() + ' [/INST]' }}{% elif message['role'] == 'assistant' %}{{ ' ' }}{% generation %}{{ content.strip() + ' ' + eos_token }}{% endgeneration %}{% endif %}{% endfor %}"
+)
+TALK = [{"role": "system", "content": "Be kind."}, {"role": "user", "content": " Hi "}, {"role": "assistant", "content": "Hello!"}]
+
+
+@pytest.mark.parametrize(
+    "template, trim, given, expected, generated",
+    [
+        (CHATML, False, {"add_generation_prompt": True}, "<|im_start|>system\nBe kind.<|im_end|>\n<|im_start|>user\n Hi <|im_end|>\n<|im_start|>assistant\nHello!<|im_end|>\n<|im_start|>assistant\n", []),
+        (ZEPHYR, True, {"eos_token": "</s>", "add_generation_prompt": False}, "<|system|>\nBe kind.</s>\n<|user|>\n Hi </s>\n<|assistant|>\nHello!</s>", ["<|assistant|>\nHello!</s>"]),
+        (INST, False, {"bos_token": "<s>", "eos_token": "</s>"}, "<s>[INST] <<SYS>>\nBe kind.\n<</SYS>>\n\n Hi [/INST] Hello! </s>", ["Hello! </s>"]),
+    ],
+)
+def test_chat_public_templates(template, trim, given, expected, generated):
+    text, spans = chat.compile_template(template, chat.VARIABLES, trim)({"messages": TALK, **given})
+    assert text == expected and [text[a:b] for a, b in spans] == generated
+
+
+def test_chat_public_template_refuses_wrong_turns():
+    with pytest.raises(chat.TemplateError, match="must alternate"):
+        chat.compile_template(INST)({"messages": TALK[::-1], "bos_token": "", "eos_token": ""})
+
+
+@pytest.mark.parametrize(
+    "template, env, expected",
+    [
+        ("{{ 'x' if true else 1 // 0 }}{{ false and 1 // 0 }}{{ '}}' }}{{ '%}' }}", {}, "xfalse}}%}"),
+        ("{{ m[1:] | join('') }}{{ m[:-1] | join('') }}{{ m[::-1] | join('') }}{{ 'abc'[1:2] }}", {"m": ["a", "b"]}, "babab"),
+        ("{{ x is defined }}{{ y is defined }}{{ x.z is undefined }}{{ x.n is none }}{{ x is not mapping }}{{ zz | default('d') }}", {"x": {"n": None}}, "truefalsetruetruefalsed"),
+        ("{% if a %}{% set b = 1 %}{% endif %}{{ b }}{{ c is defined }}{% if not a %}{% set c = 2 %}{% endif %}{{ c is defined }}", {"a": True}, "1falsefalse"),
+        ("{% set ns = namespace(n=0) %}{% for m in ms %}{% set ns.n = ns.n + m %}{% set ms = [] %}{% endfor %}{{ ns.n }}{{ ms | length }}", {"ms": [1, 2, 3]}, "63"),
+        ("{% for k, v in r.items() %}{{ k }}={{ v | tojson }};{% endfor %}{{ [1, 'a'] | tojson }}{{ {'k': r.a} | tojson }}", {"r": {"a": "ü", "b": None}}, 'a="ü";b=null;[1, "a"]{"k": "ü"}'),
+        ("{{ 'a,b'.split(',') | last }}{{ 'abc'.startswith('ab') }}{{ r.get('q', 'none') }}{{ 1 in [1] }}", {"r": {}}, "btruenonetrue"),
+    ],
+)
+def test_chat_language_of_published_templates(template, env, expected):
+    assert render(template, **env)[0] == expected
+
+
+@pytest.mark.parametrize("bad", ["{{ 1 // 0 }}", "{{ -'a' }}", "{{ n | length }}", "{{ 'a' | replace(1, 2) }}", "{{ n[1:] }}", "{{ 1 + n }}", "{{ n < 1 }}", "{{ n.strip() }}", "{% for x in n %}{% endfor %}", "{{ raise_exception('no') }}", "{{ [1] | join(2) }}", "{{ n.a }}", "{{ {n: 1}[[]] }}"])
+def test_chat_faults_are_template_errors_when_rendered(bad):
+    run = chat.compile_template(bad, ("n",))
+    with pytest.raises(chat.TemplateError):
+        run({"n": None})
+
+
+def test_chat_deep_templates_end_in_a_template_error():
+    for deep in ("{{ " + " ~ ".join(["n"] * 50_000) + " }}", "{{ " + "(" * 5000 + "1" + ")" * 5000 + " }}"):
+        with pytest.raises(chat.TemplateError):
+            chat.compile_template(deep, ("n",))
+
+
+def test_chat_renders_tables_with_variables(spark):
+    df = spark.createDataFrame([(1, 0, "user", "Hi"), (1, 1, "assistant", "Yo")], "conv_id bigint, turn bigint, role string, text string")
+    row = chat.render(df, ZEPHYR, trim_blocks=True, eos_token="</s>", add_generation_prompt=True).first()
+    assert row["rendered"] == "<|user|>\nHi</s>\n<|assistant|>\nYo</s><|assistant|>\n" and [row["rendered"][g["start"] : g["end"]] for g in row["generation"]] == ["<|assistant|>\nYo</s>"]
+
+
 def test_chat_sandbox():
-    for t in ("{{ ms.__class__ }}", "{{ 'a'['__class__'] }}", "{{ 'a' * 1000000 }}"):
+    for t in ("{{ ms.__class__ }}", "{{ 'a'['__class__'] }}", "{{ 'a' * 1000000 }}", "{{ 'a' * 2 * ms }}"):
         with pytest.raises(chat.TemplateError):
             render(t, ms=[])
 
@@ -330,7 +419,7 @@ def test_bpe_edges(edges, no_docs):
     assert rows[2]["token_ids"] is None and rows[2]["n_tokens"] is None and rows[3]["n_tokens"] == 0 and all(r["decodes"] for k, r in rows.items() if k in range(10) and k != 2)
     added = bpe.add_tokens(edges)
     assert added.columns == [*edges.columns, "token_ids_"] and added.count() == edges.count()
-    back = added.select("text", bpe.decode_column()("token_ids_").alias("back"))
+    back = added.select("text", bpe.decode_column(edges.sparkSession)("token_ids_").alias("back"))
     assert back.where("NOT text <=> back").count() == 0
     assert bpe.round_trip(no_docs).count() == 0 and bpe.encode(no_docs).count() == 0
 
@@ -398,7 +487,7 @@ def near_values(n, seed):
     return [v - (1 << 64) if v >= 1 << 63 else v for v in dict.fromkeys(values)]
 
 
-@pytest.mark.parametrize("chosen", [None, (2, (3, 4)), (3, (2, 2, 2)), (3, (4, -1, 3)), (4, (4, -1, 1, 1)), (6, (1, 0, 1, 0, 1, 0))])
+@pytest.mark.parametrize("chosen", [None, (3, (3, 4, -1)), (3, (2, 2, 2)), (3, (4, -1, 3)), (4, (4, -1, 1, 1)), (6, (1, 0, 1, 0, 1, 0))])
 def test_simhash_pairs_equal_brute_force(spark, chosen):
     values = near_values(60, 3)
     u = np.array(values, np.int64).view(np.uint64)
@@ -488,9 +577,44 @@ def test_simhash_recall_against_text_similarity(spark):
 
 def test_simhash_bits_alone_make_no_pair(spark):
     same = [7, 7, 7, 7]
-    rows = [(1, same, list(range(64))), (2, same, list(range(100, 164))), (3, same, list(range(8, 72)))]
-    nodes = spark.createDataFrame(rows, "node bigint, words array<bigint>, sketch array<bigint>")
-    assert [(r["u"], r["v"]) for r in simhash.near_nodes(nodes).collect()] == [(1, 3)]
+    rows = [(1, same, 64, list(range(64))), (2, same, 64, list(range(100, 164))), (3, same, 64, list(range(8, 72)))]
+    prints = spark.createDataFrame(rows, "node bigint, words array<bigint>, runs int, sketch array<int>")
+    assert [(r["u"], r["v"]) for r in simhash.near_nodes(prints).collect()] == [(1, 3)]
+
+
+def test_simhash_keys_of_two_partitions_never_meet():
+    for m in simhash.PARTITION_COUNTS:
+        parts = simhash.partitions_of(list(range(64)), m)
+        tags, all_bits = simhash._tags(parts), (1 << 64) - 1
+        for i in range(m):
+            for j in range(i):
+                outside = all_bits & ~simhash._mask(parts[i]) & ~simhash._mask(parts[j])
+                assert (tags[i] ^ tags[j]) & outside
+            assert not tags[i] & simhash._mask(parts[i])
+
+
+def test_simhash_even_thresholds_write_their_keys_once(spark):
+    fps = spark.createDataFrame([(v,) for v in near_values(20, 5)], "fp bigint").checkpoint()
+    chosen = list(zip(simhash.partitions_of(list(range(64)), 3), (2, 2, 2)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = simhash.pairs(fps, simhash.TAU, chosen)
+        found.collect()
+        assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_simhash_words():
+    assert simhash.WORD.findall("Ein Satz, zwei") == ["Ein", "Satz", "zwei"] and simhash.WORD.findall("漢字 abc漢") == ["漢", "字", "abc", "漢"]
+    one, other = simhash.prints_of(["dog bites man", "man bites dog"])
+    assert one[0] == other[0] and one[1] != other[1]
+
+
+def test_simhash_ties_do_not_depend_on_order(spark):
+    rows = [(1, "one and the same text here", s) for s in "bca"]
+    kept = [simhash.deduplicate(spark.createDataFrame(r, "doc_id bigint, text string, source string").coalesce(1)).collect() for r in (rows, rows[::-1])]
+    assert len(kept[0]) == 1 and kept[0] == kept[1]
 
 
 def test_simhash_keeps_one_of_each_group(spark):

@@ -241,17 +241,42 @@ def test_toxicity_folds_and_spares():
     a = toxicity.automaton(LEXICON)
     assert toxicity.score_text(a, "1d10t")[1] == 1 and toxicity.score_text(a, "ідіот")[1] == 0 and toxicity.score_text(a, "іdіоt")[1] == 1
     assert toxicity.score_text(a, "the class clown")[1] == 0 and toxicity.score_text(a, "clown")[0] == 0.5 / toxicity.MIN_WORDS
+    assert toxicity.score_text(a, "id\u200biot")[1] == 1 and toxicity.score_text(a, "i\u0307diot")[1] == 1 and toxicity.score_text(a, "İdiot")[1] == 1
+    ass = toxicity.automaton(toxicity.Lexicon({"ass": 1.0}))
+    assert [toxicity.score_text(ass, t)[1] for t in ("455 units", "a55", "@ss", "a$s", "4 5 5", "pass 455!")] == [0, 1, 1, 1, 0, 0]
+    assert toxicity.score_text(ass, "schön año 2024")[1] == 0
     assert toxicity.score_text(a, None) == toxicity.score_text(a, "") == (0.0, 0)
 
 
-def test_toxicity_finds_labelled_documents(labelled):
-    lexicon = toxicity.lexicon_from(labelled["text"].tolist(), labelled["toxic"].tolist())
-    a = toxicity.automaton(lexicon)
-    s = np.array([toxicity.score_text(a, t)[0] for t in labelled["text"]])
-    english = (labelled["lang"] == "en").to_numpy()
-    toxic = labelled["toxic"].to_numpy() == 1
-    assert (s[toxic & english] >= toxicity.THRESHOLD).mean() > 0.85
-    assert (s[~toxic] >= toxicity.THRESHOLD).mean() < 0.03
+def test_toxicity_finds_held_out_documents():
+    rows = pd.read_parquet("/root/testdata/sf0.1/documents.parquet").merge(pd.read_parquet("/root/testdata/sf0.1/labels.parquet"), on="doc_id").dropna(subset=["text"])
+    rows = rows.sample(frac=1, random_state=5).reset_index(drop=True)
+    train, test = rows[:2500], rows[2500:]
+    test = test[~test["text"].isin(set(train["text"]))]
+    a = toxicity.automaton(toxicity.lexicon_from(train["text"].tolist(), train["toxic"].tolist()))
+    s = np.array([toxicity.score_text(a, t)[0] for t in test["text"]])
+    toxic = test["toxic"].to_numpy() == 1
+    assert (s[toxic] >= toxicity.THRESHOLD).mean() > 0.87
+    assert (s[~toxic] >= toxicity.THRESHOLD).mean() < 0.01
+
+
+def test_mixing_posteriors_of_held_out_documents():
+    rows = pd.read_parquet("/root/testdata/sf0.1/documents.parquet").merge(pd.read_parquet("/root/testdata/sf0.1/labels.parquet"), on="doc_id").dropna(subset=["text"])
+    rows = rows.sample(frac=1, random_state=6).reset_index(drop=True)
+    domain = np.where(rows["toxic"] == 1, 1, np.where(rows["quality"] == 0, 2, 0))
+    model = mixing.train(rows["text"][:2500].tolist(), domain[:2500].tolist(), 3)
+    test = ~rows["text"].isin(set(rows["text"][:2500]))
+    p = mixing.posteriors(model, rows["text"][test].tolist())
+    assert (p.argmax(axis=1) == domain[test]).mean() > 0.9
+
+
+def test_toxicity_exceptions_in_a_long_text():
+    import time
+
+    a = toxicity.automaton(LEXICON)
+    began = time.time()
+    assert len(toxicity.hits(a, "class clown idiot " * 40_000)) == 40_000
+    assert time.time() - began < 5
 
 
 def test_toxicity_edges(edges, labels, no_docs, no_labels):
