@@ -6,7 +6,7 @@ independently, each distinct fragment once per worker, and their ids are concate
 tokenizer's own, including its splitting pattern, because a cut is used only where the pattern's view of the rest doesn't depend on what
 stands before it (not after white space, not before an apostrophe, not inside a character).
 
-Decoding puts the tokens' bytes together.
+Decoding puts the tokens' bytes together. The vocabulary file is needed on the driver alone, which sends it to the workers.
 
 Defined cases: a null text has null ids, an empty one no ids; ids can be null or repeated, each row has its own
 result; other columns are ignored by encode() and kept by add_tokens(); empty tables give empty results.
@@ -23,10 +23,10 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cumulo.llm.common import fresh, small_batches
+from cumulo.llm.common import fresh, ship, shipped, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public splitting pattern of this vocabulary.
@@ -146,20 +146,25 @@ def codec(path: str) -> Codec:
     return Codec(load_ranks(path))
 
 
-def encode_column(path: str = VOCABULARY):
+def encode_column(spark: SparkSession, path: str = VOCABULARY):
+    """path: the vocabulary on the driver; it is sent to the workers."""
+    name = ship(spark, path)
+
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = codec(path)
+        own = codec(shipped(name))
         for texts in batches:
             yield pd.Series([None if t is None else own.encode(t) for t in texts], dtype=object)
 
     return encode
 
 
-def decode_column(path: str = VOCABULARY):
+def decode_column(spark: SparkSession, path: str = VOCABULARY):
+    name = ship(spark, path)
+
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = codec(path)
+        own = codec(shipped(name))
         for ids in batches:
             yield pd.Series([None if i is None else own.decode(i) for i in ids], dtype=object)
 
@@ -168,18 +173,17 @@ def decode_column(path: str = VOCABULARY):
 
 def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, token_ids, n_tokens) of every row."""
-    small_batches(docs.sparkSession)
-    ids = docs.select("doc_id", encode_column(path)("text").alias("token_ids"))
+    ids = docs.select("doc_id", encode_column(docs.sparkSession, path)("text").alias("token_ids"))
     return ids.select("doc_id", "token_ids", F.size("token_ids").alias("n_tokens"))
 
 
 def round_trip(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, token_ids, n_tokens, decodes): encoded and decoded again, in one pass over the texts."""
-    small_batches(docs.sparkSession)
+    name = ship(docs.sparkSession, path)
 
     def both(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(path)
-        for b in batches:
+        own = codec(shipped(name))
+        for b in slices(batches):
             ids = [None if t is None else own.encode(t) for t in b["text"]]
             back = [None if i is None else own.decode(i) == t for i, t in zip(ids, b["text"])]
             n = [None if i is None else len(i) for i in ids]
@@ -191,5 +195,4 @@ def round_trip(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 def add_tokens(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """docs with its columns and token_ids (under a longer name where docs has one so named)."""
-    small_batches(docs.sparkSession)
-    return docs.withColumn(fresh(docs, "token_ids"), encode_column(path)("text"))
+    return docs.withColumn(fresh(docs, "token_ids"), encode_column(docs.sparkSession, path)("text"))

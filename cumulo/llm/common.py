@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-#: Documents in one Arrow batch. Texts can be long, so a batch is kept to some hundreds of rows and a few MB.
+#: Documents worked on at once. Texts can be long, so a step takes some hundreds of rows; Spark bounds the bytes of an Arrow batch.
 BATCH_ROWS = 256
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of the Arrow batches handed to Python workers; Spark bounds their bytes (64 MB unless set otherwise)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pd.DataFrame], rows: int = BATCH_ROWS) -> Iterator[pd.DataFrame]:
+    """The batches (tables or columns) in parts of so many rows; the session's own batch size stays as it is."""
+    for b in batches:
+        for s in range(0, len(b), rows):
+            yield b[s : s + rows]
+
+
+def ship(spark: SparkSession, path: str) -> str:
+    """Sends a file of the driver to all workers; the name under which shipped() finds it there."""
+    spark.sparkContext.addFile(path)
+    return path.rsplit("/", 1)[-1]
+
+
+def shipped(name: str) -> str:
+    return SparkFiles.get(name)
 
 
 def fresh(df: DataFrame, stem: str) -> str:

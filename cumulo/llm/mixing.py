@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from cumulo.llm.common import fresh, small_batches
+from cumulo.llm.common import fresh
 from cumulo.llm.quality import labelled
 from cumulo.session import cut
 
@@ -151,7 +151,6 @@ def _membership(model: Posterior):
 
 def memberships(docs: DataFrame, model: Posterior) -> DataFrame:
     """(doc_id, n_tokens, posterior) of every row."""
-    small_batches(docs.sparkSession)
     m = docs.select("doc_id", _membership(model)("text").alias("m"))
     return m.select("doc_id", F.element_at("m", 1).cast("bigint").alias("n_tokens"), F.slice("m", 2, len(model.bias)).alias("posterior"))
 

@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from cumulo.llm.common import small_batches
+from cumulo.llm.common import slices
 
 #: The levels whose phrases are reported (about 15 and 37 bytes each), rounds of coin tossing, symbols that always are one phrase, bytes parsed at once.
 LEVELS, ROUNDS, FEW, SLAB = (3, 4), 4, 8, 1 << 20
@@ -159,10 +159,8 @@ def slabs(texts: list[str | None], most: int = SLAB) -> Iterator[tuple[list[int]
 
 def fingerprints(docs: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """(doc_id, n_bytes, levels, fingerprint, signatures) of every row; signatures level by level, in the order of the text."""
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             texts = b["text"].tolist()
             n = len(texts)
             names, depth, signs, size = [None] * n, [0] * n, [np.zeros(0, np.int64)] * n, [None if t is None else 0 for t in texts]

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cumulo.llm.common import fresh, small_batches
+from cumulo.llm.common import BATCH_ROWS, fresh
 
 STRIDE, BLOCKS, HALF = 4, 3, 128
 WINDOW = STRIDE * BLOCKS
@@ -212,20 +212,18 @@ def score_column(net: Net):
     @F.pandas_udf("double")
     def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(predict(net, texts.tolist()))
+            yield pd.Series(np.concatenate([np.zeros(0), *[predict(net, texts[s : s + BATCH_ROWS].tolist()) for s in range(0, len(texts), BATCH_ROWS)]]))
 
     return probability
 
 
 def score(docs: DataFrame, net: Net) -> DataFrame:
     """(doc_id, p_quality, keep) of every row."""
-    small_batches(docs.sparkSession)
     scored = docs.select("doc_id", score_column(net)("text").alias("p_quality"))
     return scored.select("doc_id", F.round("p_quality", 6).alias("p_quality"), (F.col("p_quality") >= KEEP_FROM).alias("keep"))
 
 
 def filter_docs(docs: DataFrame, net: Net) -> DataFrame:
     """The rows of docs that the classifier keeps, with their columns as they are."""
-    small_batches(docs.sparkSession)
     p = fresh(docs, "cumulo_p")
     return docs.withColumn(p, score_column(net)("text")).where(F.col(p) >= KEEP_FROM).drop(p)

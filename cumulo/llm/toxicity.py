@@ -1,7 +1,8 @@
 """Toxicity: a weighted lexicon, matched by an Aho-Corasick automaton after folding disguises.
 
-Folding: lower case; homoglyphs (Cyrillic, Greek, full-width and accented look-alikes) to Latin letters; digits and
-signs that stand for letters inside a word to those letters. Entries are whole words or stems ("stem*": at the start
+Folding: lower case; combining marks and characters without width go; homoglyphs (Cyrillic, Greek, full-width and accented look-alikes) to Latin
+letters, but for the letters that French, German and Spanish words need; digits and signs that stand for letters to those letters, in words that have
+a letter (a number stays a number). Entries are whole words or stems ("stem*": at the start
 of a word). A match inside an exception phrase doesn't count. The score is the sum of the matches' weights per word of
 the document, with at least MIN_WORDS words, so that one hit in a long text weighs little.
 
@@ -18,6 +19,8 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +31,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cumulo.llm.common import small_batches
 from cumulo.llm.quality import labelled
 
 BASE = {"idiot": 1.0, "moron": 1.0, "scum": 1.0, "stupid": 0.8, "pathetic": 0.8, "worthless": 0.8, "disgusting": 0.8, "loser": 0.8, "trash": 0.7, "clown": 0.7}
@@ -42,21 +44,31 @@ _LOOKALIKES = {
 }
 #: Letters that French, German and Spanish words need are no disguise.
 _ORDINARY = set("áàâéèêëíîïóôúùûüñçäöß")
-FOLD = {ord(c): latin for latin, others in _LOOKALIKES.items() for c in others if c not in _ORDINARY or c in "ï"}
-_FOLDED = re.compile("[" + "".join(re.escape(chr(c)) for c in FOLD) + "]")
-_SIGNS = re.compile(r"(?<=\w)[$!|](?=\w)")
+_FOLD = {ord(c): latin for latin, others in _LOOKALIKES.items() for c in others if (c not in _ORDINARY or c in "ï") and not c.isascii()}
+_DIGITS = {ord(c): latin for latin, others in _LOOKALIKES.items() for c in others if c.isascii()}
+_DISGUISED = re.compile(r"[\w@$!|]*[0-9@$!|][\w@$!|]*")
+_SIGNS = re.compile(r"(?<=[^\W_])[$!|](?=[^\W_])")
 _SIGN = {"$": "s", "!": "i", "|": "l"}
+_UNSEEN = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]")
 _WORD = re.compile(r"\w+")
 
 
+def _undisguised(m: re.Match) -> str:
+    """A word's digits and signs as letters, if it has a letter."""
+    word = m[0]
+    if not any(c.isalpha() for c in word):
+        return word
+    return _SIGNS.sub(lambda s: _SIGN[s[0]], word.translate(_DIGITS))
+
+
 def fold(text: str) -> str:
-    """One character for one, so that word boundaries stay where they are."""
     t = text.lower()
-    if _FOLDED.search(t):
-        t = t.translate(FOLD)
-    if "$" in t or "!" in t or "|" in t:
-        t = _SIGNS.sub(lambda m: _SIGN[m[0]], t)
-    return t
+    if not t.isascii():
+        t = unicodedata.normalize("NFC", _UNSEEN.sub("", t))
+        if any(map(unicodedata.combining, t)):
+            t = "".join(c for c in t if not unicodedata.combining(c))
+        t = t.translate(_FOLD)
+    return _DISGUISED.sub(_undisguised, t)
 
 
 @dataclass(frozen=True)
@@ -104,9 +116,16 @@ def hits(a: ahocorasick.Automaton, text: str) -> list[tuple[int, int, float]]:
         weight = word if closed and word is not None else stem
         if weight is not None:
             matches.append((start, -end, weight))
+    spared.sort()
+    starts, reaches = [s for s, _ in spared], []
+    for _, e in spared:
+        reaches.append(max(e, reaches[-1] if reaches else 0))
     counted, reach = [], 0
     for start, end, weight in sorted(matches):
-        if start >= reach and not any(s <= start and -end <= e for s, e in spared):
+        if start < reach:
+            continue
+        before = bisect_right(starts, start)
+        if not before or reaches[before - 1] < -end:
             counted.append((start, -end, weight))
             reach = -end
     return counted
@@ -167,8 +186,6 @@ def lexicon_from(texts: list[str], toxic: list[int], stems: range = range(4, 9),
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(doc_id, score, hits, toxic) of every row."""
-    small_batches(docs.sparkSession)
-
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a = automaton(lexicon)
         for b in batches:
