@@ -53,9 +53,12 @@ def top_categories(docs: DataFrame, k: int = 10, category: str = "category") ->
 
 
 def token_stats(bags: DataFrame) -> DataFrame:
-    """One row of bags(doc_id, tokens): documents, those with tokens, and the mean number of tokens of those."""
+    """One row of bags(doc_id, tokens): documents, those with tokens, their tokens, the mean number of those, and the negated ones."""
     n = F.size("tokens")
-    return bags.agg(F.count("*").alias("n_docs"), F.count_if(n > 0).alias("with_tokens"), F.avg(F.when(n > 0, n)).alias("mean_tokens"))
+    negated = F.size(F.filter("tokens", lambda t: t.startswith("NEG_")))
+    return bags.agg(
+        F.count("*").alias("n_docs"), F.count_if(n > 0).alias("with_tokens"), F.sum(F.when(n > 0, n)).alias("n_tokens"), F.avg(F.when(n > 0, n)).alias("mean_tokens"), F.sum(F.when(n > 0, negated)).alias("n_negated")
+    )
 
 
 def corpus_report(points: DataFrame, vocabulary: DataFrame, k: int = 10) -> dict:

@@ -530,18 +530,60 @@ def category_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.category_count(read_table(spark, sf, "documents"), "source")
 
 
-@query()
-def entity_tokens(spark: SparkSession, sf: str) -> DataFrame:
+def _entity_sql() -> str:
+    """tok(doc_id, pos, token): the names of each document, in order."""
+    quoted = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+    marked = "' ' || regexp_replace(regexp_replace(regexp_replace(lower(text), '[|~^`]+', ' ', 'g'), '[.,;:!?\\n]+', ' ~ ', 'g'), '[ \\t\\n\\r\\x0b\\f]+', ' ', 'g') || ' '"
+    for phrase, mark in entities.phrases():
+        marked = f"replace({marked}, ' {phrase} ', ' {mark} ')"
+    single = entities.single_words()
+    cases = " ".join(f"WHEN t IN ({quoted([w for w, m in single.items() if m == mark])}) THEN '{mark}'" for mark in "|^`~")
+    head = "^[^\\p{L}\\p{N}]*"
+    label = f"CASE WHEN regexp_matches(r, '{head}\\p{{N}}') OR regexp_matches(r, '{head}(" + "|".join(entities.DATES) + ")( |$)') THEN 'skip' ELSE '' END"
+    return f"""
+WITH m AS (SELECT row_number() OVER () AS k, doc_id, array_to_string(list_transform(string_split({marked}, ' '), lambda t: CASE {cases} ELSE t END), ' ') AS t FROM documents WHERE text IS NOT NULL),
+c AS (SELECT k, doc_id, unnest(string_split(t, '~')) AS clause, generate_subscripts(string_split(t, '~'), 1) AS ci FROM m),
+p AS (SELECT k, doc_id, ci, len(string_split(clause, '`')) AS n, unnest(string_split(clause, '`')) AS part, generate_subscripts(string_split(clause, '`'), 1) AS pi FROM c),
+g AS (SELECT k, doc_id, ci, pi, pi < n AS post, unnest(string_split(part, '^')) AS seg, generate_subscripts(string_split(part, '^'), 1) AS gi FROM p),
+r AS (SELECT k, doc_id, ci, pi, gi, post OR gi > 1 AS negated, trim(unnest(string_split(seg, '|'))) AS r, generate_subscripts(string_split(seg, '|'), 1) AS ri FROM g),
+e AS (SELECT *, {label} AS label, regexp_replace(regexp_replace(regexp_replace(r, '^[^\\p{{L}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g'), '^\\s+|\\s+$', '', 'g'), '\\s+', '_', 'g') AS name FROM r WHERE regexp_matches(r, '\\p{{L}}')),
+f AS (SELECT *, row_number() OVER (PARTITION BY k, name ORDER BY ci, pi, gi, ri) AS nth FROM e WHERE label = '' AND length(name) >= {entities.MIN_NAME} AND name NOT IN ({quoted(entities.GENERIC)})),
+tok AS (SELECT k, doc_id, row_number() OVER (PARTITION BY k ORDER BY ci, pi, gi, ri) AS pos, CASE WHEN negated THEN 'NEG_' ELSE '' END || name AS token FROM f WHERE nth = 1)
+"""
+
+
+def document_bags(spark: SparkSession, sf: str) -> DataFrame:
     return entities.entity_bags(read_table(spark, sf, "documents").select("doc_id", "text"))
 
 
-@query()
+@query(_entity_sql() + "SELECT m.doc_id, coalesce(string_agg(token, ' ' ORDER BY pos), '') AS tokens FROM m LEFT JOIN tok ON tok.k = m.k GROUP BY m.k, m.doc_id")
+def entity_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """The names of each document, joined by spaces (names hold none)."""
+    return document_bags(spark, sf).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query(
+    _entity_sql() + "SELECT (SELECT count(*) FROM m) AS n_docs, count(*) AS with_tokens, CAST(sum(n) AS BIGINT) AS n_tokens, round(avg(n), 6) AS mean_tokens, CAST(sum(neg) AS BIGINT) AS n_negated "
+    "FROM (SELECT k, count(*) AS n, sum(CASE WHEN token[1:4] = 'NEG_' THEN 1 ELSE 0 END) AS neg FROM tok GROUP BY k)"
+)
+def token_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents, those with names, and their names: the filter on empty bags, and the averages."""
+    return corpus.token_stats(document_bags(spark, sf)).withColumn("mean_tokens", F.round("mean_tokens", 6))
+
+
+@query(
+    _entity_sql() + ", x AS (SELECT k, list(lower(token) ORDER BY pos) AS ts FROM tok GROUP BY k), "
+    "t AS (SELECT k, unnest(ts) AS term FROM x UNION ALL SELECT k, unnest(list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1])) FROM x), "
+    "st AS (SELECT term, count(DISTINCT k) AS df, count(*) AS ctf FROM t GROUP BY term), "
+    f"v AS (SELECT term FROM st WHERE df >= {tfidf.ENTITIES.min_df} AND df <= {tfidf.ENTITIES.max_df} * (SELECT count(*) FROM x) ORDER BY ctf DESC, term LIMIT {tfidf.ENTITIES.max_features}), "
+    "n AS (SELECT count(*) AS n_features, count(*) FILTER (term[1:4] <> 'neg_') AS positive, count(*) FILTER (term[1:4] = 'neg_') AS negated FROM v) "
+    "SELECT n_features, positive, negated, round(100.0 * positive / n_features, 6) AS positive_pct, round(100.0 * negated / n_features, 6) AS negated_pct FROM n"
+)
 def negation_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Of the vocabulary of the conversations' turns."""
-    turns = read_table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    bags = entities.entity_bags(turns).persist()
-    texts = entities.non_empty(bags).select("doc_id", F.array_join("tokens", " ").alias("text"))
-    return tfidf.negation_counts(tfidf.tfidf(texts, tfidf.ENTITIES)[1])
+    """Of the vocabulary of the documents' names and pairs of names."""
+    texts = entities.non_empty(document_bags(spark, sf)).select("doc_id", F.array_join("tokens", " ").alias("text"))
+    counts = tfidf.negation_counts(tfidf.tfidf(texts, tfidf.ENTITIES)[1])
+    return counts.withColumns({c: F.round(c, 6) for c in ("positive_pct", "negated_pct")})
 
 
 # --- generator --------------------------------------------------------------------------------------------------------
