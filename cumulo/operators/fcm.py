@@ -25,6 +25,8 @@ from cumulo.operators.init import Start
 
 FUZZINESS, EPSILON, MAX_ITERATIONS = 2.0, 1e-5, 150
 MIN_DISTANCE, MIN_WEIGHT = 1e-10, 1e-10
+#: Tasks whose partial results the driver adds up itself.
+FEW_TASKS = 256
 #: Above so many products C x F memberships are computed in numpy even where they are computed once, as generated code gets too long.
 FLAT_LIMIT = 64
 
@@ -118,7 +120,7 @@ def _centroids(weights: list[float], sums: list[list[float]]) -> Centroids:
     return [[v / max(w, MIN_WEIGHT) for v in row] for w, row in zip(weights, sums)]
 
 
-def _flat_step(wide: DataFrame, new: Centroids | None, old: Centroids | None, c: int, n: int, m: float) -> tuple[Centroids, float]:
+def _flat_step(wide: DataFrame, new: Centroids | None, old: Centroids | None, c: int, n: int, m: float, tasks: int) -> tuple[Centroids, float]:
     """Sums of u^m x, of u^m and of the squared change, over flat points that carry the start's memberships as u0_j."""
     start = [F.col(f"u0_{j}") for j in range(c)]
     df, now, before = wide, start, start
@@ -139,8 +141,8 @@ def _flat_step(wide: DataFrame, new: Centroids | None, old: Centroids | None, c:
     return _centroids([row[f"w{j}"] for j in range(c)], [[row[f"s{j}_{f}"] for f in range(n)] for j in range(c)]), float(np.sqrt(row["q"]))
 
 
-def _arrow_step(points: DataFrame, new: Centroids | None, old: Centroids | None, c: int, n: int, m: float) -> tuple[Centroids, float]:
-    """The same in numpy: a partial result per task, added up by element."""
+def _arrow_step(points: DataFrame, new: Centroids | None, old: Centroids | None, c: int, n: int, m: float, tasks: int) -> tuple[Centroids, float]:
+    """The same in numpy: a partial result per task. Those of FEW_TASKS go straight to the driver; more are added up by element before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(c + c * n + 1)
@@ -156,7 +158,9 @@ def _arrow_step(points: DataFrame, new: Centroids | None, old: Centroids | None,
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums), dtype=np.int32)), pa.array(sums)], names=["i", "v"])
 
     parts = points.select("x", "u0").mapInArrow(run, "i int, v double")
-    found = np.array([r["v"] for r in parts.groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()])
+    found = np.zeros(c + c * n + 1)
+    for r in (parts if tasks <= FEW_TASKS else parts.groupBy("i").agg(F.sum("v").alias("v"))).collect():
+        found[r["i"]] += r["v"]
     return _centroids(found[:c].tolist(), found[c:-1].reshape(c, n).tolist()), float(np.sqrt(found[-1]))
 
 
@@ -182,20 +186,17 @@ def fit(points: DataFrame, start: Start, m: float = FUZZINESS, epsilon: float =
     else:
         cached = own.select("x", "u0").persist(StorageLevel.MEMORY_AND_DISK)
         step = _arrow_step
-    conf, rows_per_batch = points.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(rows_per_batch)
-    conf.set(rows_per_batch, "10000")  # whatever was set for wider rows; Spark bounds the bytes as well
     try:
-        centroids, _ = step(cached, None, None, c, n, m)
+        tasks = (cached.select(F.spark_partition_id().alias("k")).agg(F.max("k").alias("k")).first()["k"] or 0) + 1
+        centroids, _ = step(cached, None, None, c, n, m, tasks)
         old, history = None, []
         for t in range(1, max_iterations + 1):
-            fresh, delta = step(cached, centroids, old, c, n, m)
+            fresh, delta = step(cached, centroids, old, c, n, m, tasks)
             old, centroids = centroids, fresh
             history.append((t, delta))
             if delta < epsilon:
                 break
     finally:
-        conf.set(rows_per_batch, before)
         cached.unpersist()
     last = history[-1] if history else (0, float("inf"))
     return FcmResult(centroids, old, last[0], last[1], start, m, history)

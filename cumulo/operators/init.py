@@ -8,15 +8,15 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cumulo.functions.vectors import lit_vector, squared_distance
 
 DOMAIN_OWN, SEED_OWN = 0.8, 0.7
 _A, _B, _MOD = 2654435761, 40503, 1 << 32
-#: Rows whose prefix sums one task computes when sampling.
-STRETCH = 4096
+#: Ranges of row ids whose sums the driver gets at once when sampling.
+RANGES = 1024
 
 
 @dataclass(frozen=True)
@@ -97,23 +97,26 @@ def index_label(clusters: int, row_id: str = "row_id") -> Column:
 def sample_by_weight(weighted: DataFrame, r: float, weight: str = "d2") -> int | None:
     """The first row_id whose running sum of weights, in row_id order, reaches r times the total; the last row if none does.
 
-    Sums of stretches of STRETCH row ids come first; the running sum over single rows is formed only inside the stretch
-    where the bound is reached.
+    The ids' span is cut into RANGES ranges, whose sums tell the one where the bound is reached; that one is cut again, until it is a single
+    id. Each round is an aggregation with at most RANGES groups, whatever the ids are like; nothing is sorted. A round more is needed for
+    every factor of RANGES in the span.
     """
-    stretch = F.floor(F.col("row_id") / F.lit(STRETCH))
-    sums = weighted.groupBy(stretch.alias("k")).agg(F.sum(weight).alias("w"), F.max("row_id").alias("last"))
-    run = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    running = sums.select("k", "w", "last", F.sum("w").over(run).alias("upto"))
-    end = sums.agg(F.sum("w").alias("total"), F.max("last").alias("last")).first()
-    if end["last"] is None:
+    first = weighted.agg(F.min("row_id").alias("lo"), F.max("row_id").alias("hi"), F.sum(weight).alias("total")).first()
+    if first["lo"] is None:
         return None
-    goal = r * end["total"]
-    hit = running.where(F.col("upto") >= F.lit(goal)).orderBy("k").limit(1).first()
-    if hit is None:
-        return end["last"]
-    inside = weighted.where(stretch == hit["k"]).select("row_id", (F.sum(weight).over(Window.partitionBy(F.lit(0)).orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0)) + F.lit(hit["upto"] - hit["w"])).alias("cs"))
-    row = inside.where(F.col("cs") >= F.lit(goal)).orderBy("row_id").limit(1).first()
-    return row["row_id"] if row else weighted.where(stretch == hit["k"]).agg(F.max("row_id")).first()[0]
+    low, high, goal, below = first["lo"], first["hi"], r * (first["total"] or 0.0), 0.0
+    while low < high:
+        size = (high - low) // RANGES + 1
+        k = F.floor((F.col("row_id").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(size).cast("decimal(20,0)")).cast("int")
+        sums = weighted.where(F.col("row_id").between(low, high)).groupBy(k.alias("k")).agg(F.sum(weight).alias("w"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi")).collect()
+        for s in sorted(sums, key=lambda s: s["k"]):
+            if below + s["w"] >= goal:
+                low, high = s["lo"], s["hi"]
+                break
+            below += s["w"]
+        else:
+            return first["hi"]
+    return low
 
 
 def nearest_square(x: Column, seeds: tuple[tuple[float, ...], ...] | list) -> Column:
@@ -122,25 +125,29 @@ def nearest_square(x: Column, seeds: tuple[tuple[float, ...], ...] | list) -> Co
     return squares[0] if len(squares) == 1 else F.least(*squares)
 
 
-def _draw(seed: int, k: int) -> float:
+def draw(seed: int, k: int) -> float:
     """A number in [0, 1) from the seed, for the k-th choice."""
     return int.from_bytes(hashlib.sha256(f"{seed}:{k}".encode()).digest()[:6], "big") / float(1 << 48)
 
 
-def kmeanspp_seeds(points: DataFrame, clusters: int, seed: int = 42, first: int | None = None) -> tuple[tuple[float, ...], ...]:
-    """The first seed by a draw over the ids' order (or the given row_id), each further one by squared distance from the chosen."""
+def kmeanspp_picks(points: DataFrame, clusters: int, seed: int = 42, first: int | None = None) -> list[tuple[int, tuple[float, ...]]]:
+    """(row_id, coordinates) of the seeds: the first by a draw over the ids' order (or the given row_id), each further one by squared distance from the chosen."""
     if first is None:
-        first = sample_by_weight(points.select("row_id", F.lit(1.0).alias("d2")), _draw(seed, 0))
-    chosen: list[tuple[float, ...]] = []
+        first = sample_by_weight(points.select("row_id", F.lit(1.0).alias("d2")), draw(seed, 0))
+    chosen: list[tuple[int, tuple[float, ...]]] = []
     pick = first
     for k in range(clusters):
         if k:
-            pick = sample_by_weight(points.select("row_id", nearest_square(F.col("x"), chosen).alias("d2")), _draw(seed, k))
+            pick = sample_by_weight(points.select("row_id", nearest_square(F.col("x"), [x for _, x in chosen]).alias("d2")), draw(seed, k))
         row = points.where(F.col("row_id") == F.lit(pick)).select("x").first()
         if row is None:
             raise ValueError("there are no points to choose from")
-        chosen.append(tuple(row["x"]))
-    return tuple(chosen)
+        chosen.append((pick, tuple(row["x"])))
+    return chosen
+
+
+def kmeanspp_seeds(points: DataFrame, clusters: int, seed: int = 42, first: int | None = None) -> tuple[tuple[float, ...], ...]:
+    return tuple(x for _, x in kmeanspp_picks(points, clusters, seed, first))
 
 
 def seed_membership(x: Column, seeds: tuple[tuple[float, ...], ...]) -> Column:

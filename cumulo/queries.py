@@ -5,6 +5,7 @@ Every query runs over its whole tables. The SQL of the iterative ones is the sam
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,8 @@ from cumulo.functions.vectors import clean_zero, points_from
 from cumulo.operators import corpus, entities, fcm, metrics, normalise, profile, tfidf
 from cumulo.operators import init as starts
 from cumulo.plans import clustering
-from cumulo.session import read_table
-from cumulo.sources import synthetic
+from cumulo.session import read_table, shared_dir
+from cumulo.sources import files, synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -348,19 +349,89 @@ def kmeanspp_seed_step(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(pick,)], "row_id bigint")
 
 
-_SEED_IDS = (1, 50, 100, 150)
+def _plusplus_sql(table: str, c: int = C, seed: int = 42) -> str:
+    """CTEs k{j}(row_id), the seeds' ids, and s{j}(a{j}, b{j}), their coordinates, by the same draws."""
+    ctes = []
+    for j in range(c):
+        square = [f"(x0 - a{i}) * (x0 - a{i}) + (x1 - b{i}) * (x1 - b{i})" for i in range(j)]
+        weight = "1.0::DOUBLE" if not j else square[0] if j == 1 else f"least({', '.join(square)})"
+        sources = ", ".join([table, *[f"s{i}" for i in range(j)]])
+        ctes.append(f"w{j} AS (SELECT row_id, {weight} AS d2 FROM {sources})")
+        ctes.append(
+            f"k{j} AS MATERIALIZED (SELECT coalesce(min(CASE WHEN cs >= {starts.draw(seed, j)!r}::DOUBLE * total THEN row_id END), max(row_id)) AS row_id "
+            f"FROM (SELECT row_id, sum(d2) OVER (ORDER BY row_id ROWS UNBOUNDED PRECEDING) AS cs, sum(d2) OVER () AS total FROM w{j}))"
+        )
+        ctes.append(f"s{j} AS MATERIALIZED (SELECT x0 AS a{j}, x1 AS b{j} FROM {table} JOIN k{j} USING (row_id))")
+    return ", ".join(ctes)
 
 
-@query(
-    f"WITH {_SCALED_PART}, " + ", ".join(f"s{j} AS (SELECT x0 AS a{j}, x1 AS b{j} FROM y WHERE row_id = {i})" for j, i in enumerate(_SEED_IDS)) + ", d AS (SELECT row_id, "
-    + ", ".join(f"(x0 - a{j}) * (x0 - a{j}) + (x1 - b{j}) * (x1 - b{j}) AS d{j}" for j in range(C)) + " FROM y, s0, s1, s2, s3), n AS (SELECT row_id, CASE "
-    + " ".join(f"WHEN d{j} <= least(d0, d1, d2, d3) THEN {j}" for j in range(C)) + " END AS k FROM d), u0 AS (SELECT row_id, "
-    + ", ".join(f"CASE WHEN k = {j} THEN 0.7::DOUBLE ELSE 0.1::DOUBLE END AS u{j}" for j in range(C)) + f" FROM n) {_u0_tail()}"
-)
+def _nearest_u0(table: str, c: int = C) -> str:
+    """(row_id, x0, x1, u0, ...): 0.7 for the nearest seed."""
+    squares = ", ".join(f"(x0 - a{j}) * (x0 - a{j}) + (x1 - b{j}) * (x1 - b{j}) AS d{j}" for j in range(c))
+    least = ", ".join(f"d{j}" for j in range(c))
+    nearest = "CASE " + " ".join(f"WHEN d{j} <= least({least}) THEN {j}" for j in range(c)) + " END"
+    us = ", ".join(f"CASE WHEN k = {j} THEN 0.7::DOUBLE ELSE 0.1::DOUBLE END AS u{j}" for j in range(c))
+    return f"SELECT row_id, x0, x1, {us} FROM (SELECT *, {nearest} AS k FROM (SELECT row_id, x0, x1, {squares} FROM {table}, {', '.join(f's{j}' for j in range(c))}))"
+
+
+@query(f"WITH {_SCALED_PART}, {_plusplus_sql('y')} " + " UNION ALL ".join(f"SELECT {j} AS j, row_id FROM k{j}" for j in range(C)))
+def kmeanspp_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    """All seeds by the sampling loop."""
+    picks = starts.kmeanspp_picks(scaled_part(spark, sf), C)
+    return spark.createDataFrame([(j, i) for j, (i, _) in enumerate(picks)], "j int, row_id bigint")
+
+
+@query(f"WITH {_SCALED_PART}, {_plusplus_sql('y')}, u0 AS ({_nearest_u0('y')}) {_u0_tail()}")
 def kmeanspp_membership(spark: SparkSession, sf: str) -> DataFrame:
     points = scaled_part(spark, sf)
-    by_id = {r["row_id"]: tuple(r["x"]) for r in points.where(F.col("row_id").isin(*_SEED_IDS)).collect()}
-    return _u0_rows(points, starts.Start("seeds", C, seeds=tuple(by_id[i] for i in _SEED_IDS)))
+    return _u0_rows(points, starts.start(points, "kmeanspp", C))
+
+
+# --- runs to convergence ----------------------------------------------------------------------------------------------
+
+
+def _converge_sql(name: str, u0: str, c: int = C, m: float = 2.0) -> str:
+    """CTEs {name}_t, all iterations over rows (row_id, x0, x1, u0, ...), and {name}_l, the last one's; the recursion ends as the loop does. Use in WITH RECURSIVE."""
+    weight = (lambda j: f"u{j} * u{j}") if m == 2.0 else (lambda j: f"pow(u{j}, {m}::DOUBLE)")
+    us = ", ".join(f"u{j}" for j in range(c))
+    cs = ", ".join(f"sum({weight(j)} * x{f}) OVER () / greatest(sum({weight(j)}) OVER (), 1e-10) AS c{j}_{f}" for j in range(c) for f in range(2))
+    ss = ", ".join(" + ".join(f"(x{f} - c{j}_{f}) * (x{f} - c{j}_{f})" for f in range(2)) + f" AS s{j}" for j in range(c))
+    hit = "CASE " + " ".join(f"WHEN s{j} < 1e-20 THEN {j}" for j in reversed(range(c))) + " ELSE -1 END"
+    ratio = (lambda j, k: f"s{j} / CASE WHEN s{k} < 1e-20 THEN 1.0 ELSE s{k} END") if m == 2.0 else (lambda j, k: f"pow(s{j} / CASE WHEN s{k} < 1e-20 THEN 1.0 ELSE s{k} END, {1 / (m - 1)!r}::DOUBLE)")
+    new = ", ".join(f"CASE WHEN hit >= 0 THEN CASE WHEN hit = {j} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE 1.0 / (" + " + ".join(ratio(j, k) for k in range(c)) + f") END AS n{j}" for j in range(c))
+    change = " + ".join(f"(n{j} - u{j}) * (n{j} - u{j})" for j in range(c))
+    return (
+        f"{name}_t AS (SELECT row_id, x0, x1, {us}, 0 AS iter, 1e9::DOUBLE AS delta FROM ({u0}) UNION ALL "
+        f"SELECT row_id, x0, x1, {', '.join(f'n{j}' for j in range(c))}, iter + 1, sqrt(sum({change}) OVER ()) FROM (SELECT *, {new} FROM (SELECT *, {hit} AS hit FROM (SELECT *, {ss} FROM "
+        f"(SELECT *, {cs} FROM {name}_t WHERE delta >= {fcm.EPSILON!r}::DOUBLE AND iter < {fcm.MAX_ITERATIONS}))))), "
+        f"{name}_l AS MATERIALIZED (SELECT * FROM {name}_t WHERE iter = (SELECT max(iter) FROM {name}_t))"
+    )
+
+
+def _final_centroids(name: str, m: float = 2.0) -> str:
+    weight = (lambda j: f"u{j} * u{j}") if m == 2.0 else (lambda j: f"pow(u{j}, {m}::DOUBLE)")
+    return " UNION ALL ".join(f"SELECT max(iter) AS iterations, {j} AS j, {f} AS f, round(sum({weight(j)} * x{f}) / greatest(sum({weight(j)}), 1e-10), 6) + 0.0 AS v FROM {name}_l" for j in range(C) for f in range(2))
+
+
+def _given_u0(table: str) -> str:
+    return f"SELECT row_id, x0, x1, {_domain_u0(C)} FROM {table}"
+
+
+def _converged(spark: SparkSession, sf: str, m: float) -> DataFrame:
+    points = scaled_part(spark, sf)
+    result = fcm.fit(points, starts.Start("labels", C, label="domain_label"), m=m)
+    return _centroid_rows(spark, points, result).select(F.lit(result.iterations).alias("iterations"), "j", "f", "v")
+
+
+@query(f"WITH RECURSIVE {_SCALED_PART}, {_converge_sql('d', _given_u0('y'))} {_final_centroids('d')}")
+def fcm_converged(spark: SparkSession, sf: str) -> DataFrame:
+    """Until the change is below epsilon: the number of iterations and the centroids."""
+    return _converged(spark, sf, 2.0)
+
+
+@query(f"WITH RECURSIVE {_SCALED_PART}, {_converge_sql('d', _given_u0('y'), m=1.5)} {_final_centroids('d', 1.5)}")
+def fcm_converged_m15(spark: SparkSession, sf: str) -> DataFrame:
+    return _converged(spark, sf, 1.5)
 
 
 # --- metrics ----------------------------------------------------------------------------------------------------------
@@ -421,10 +492,40 @@ def metric_bands(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("row_id", metrics.silhouette_band(F.col("s")).alias("silhouette_band"), metrics.db_band(F.col("s") + F.lit(1.0)).alias("db_band"))
 
 
-@query()
+def _scores_sql(name: str, strategy: str) -> str:
+    """One row of the comparison from the last iteration {name}_l."""
+    return (
+        f"SELECT '{strategy}' AS strategy, (SELECT max(iter) FROM {name}_l) AS iterations, (SELECT round(max(delta), 9) FROM {name}_l) AS final_delta, "
+        f"(SELECT round(avg(CASE WHEN a IS NULL THEN 0.0 WHEN b IS NULL THEN 1.0 WHEN greatest(a, b) <= 1e-15 THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) FROM {name}_ab) AS silhouette, "
+        f"(SELECT round(avg(r), 6) FROM {name}_r) AS davies_bouldin"
+    )
+
+
+def _score_ctes(name: str) -> str:
+    cs = " UNION ALL ".join(f"SELECT {j} AS label, sum(u{j} * u{j} * x0) / greatest(sum(u{j} * u{j}), 1e-10) AS a, sum(u{j} * u{j} * x1) / greatest(sum(u{j} * u{j}), 1e-10) AS b FROM {name}_l" for j in range(C))
+    return (
+        f"{name}_p AS MATERIALIZED (SELECT row_id, x0, x1, {_LABEL} AS label FROM {name}_l), {name}_c AS MATERIALIZED ({cs}), "
+        f"{name}_d AS (SELECT i.row_id, i.label, j.label AS other, sum(sqrt((i.x0 - j.x0) * (i.x0 - j.x0) + (i.x1 - j.x1) * (i.x1 - j.x1))) / count(*) AS mean FROM {name}_p i JOIN {name}_p j ON i.row_id <> j.row_id GROUP BY ALL), "
+        f"{name}_ab AS (SELECT row_id, max(CASE WHEN other = label THEN mean END) AS a, min(CASE WHEN other <> label THEN mean END) AS b FROM {name}_d GROUP BY row_id), "
+        f"{name}_s AS (SELECT label, avg(sqrt((x0 - a) * (x0 - a) + (x1 - b) * (x1 - b))) AS scatter FROM {name}_p JOIN {name}_c USING (label) GROUP BY label), "
+        f"{name}_r AS (SELECT i.label, max((i.scatter + j.scatter) / sqrt((ci.a - cj.a) * (ci.a - cj.a) + (ci.b - cj.b) * (ci.b - cj.b))) AS r "
+        f"FROM {name}_s i JOIN {name}_s j ON i.label <> j.label JOIN {name}_c ci ON ci.label = i.label JOIN {name}_c cj ON cj.label = j.label GROUP BY i.label)"
+    )
+
+
+_ALL_STARTS = {"random": f"SELECT row_id, x0, x1, {', '.join(f'u{j}' for j in range(C))} FROM y JOIN random_u0 USING (row_id)", "kmeanspp": _nearest_u0("y"), "domain": _given_u0("y")}
+
+
+@query(
+    f"WITH RECURSIVE {_SCALED_PART}, {_plusplus_sql('y')}, random_u0 AS MATERIALIZED ({_random_sql().removesuffix(_u0_tail())} SELECT * FROM u0), "
+    + ", ".join(f"{_converge_sql(n, u0)}, {_score_ctes(n)}" for n, u0 in _ALL_STARTS.items())
+    + " " + " UNION ALL ".join(_scores_sql(n, n) for n in _ALL_STARTS)
+)
 def strategy_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    """All three strategies to convergence on the suppliers."""
-    return clustering.compare(normalise.normalize_minmax(supplier_points(spark, sf)), C)
+    """All three strategies to convergence, with their scores."""
+    table = clustering.compare(normalise.normalize_minmax(part_points(spark, sf)), C)
+    rounded = {c: F.round(c, digits) for c, digits in (("final_delta", 9), ("silhouette", 6), ("davies_bouldin", 6))}
+    return table.withColumns(rounded).select("strategy", "iterations", *rounded)
 
 
 # --- text -------------------------------------------------------------------------------------------------------------
@@ -586,6 +687,63 @@ def negation_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counts.withColumns({c: F.round(c, 6) for c in ("positive_pct", "negated_pct")})
 
 
+# --- files ------------------------------------------------------------------------------------------------------------
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {PART}, {_minmax_sql('part_x', 2, 'y')}, n AS (SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, x0, x1 FROM y) {_long_sql('n')}")
+def matrix_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Written as a feature CSV in full precision and read again in strict mode: the rows by their place in the file."""
+    points, path = normalise.normalize_minmax(part_points(spark, sf)), _scratch(spark)
+    files.write_features(points.coalesce(1), path, digits=None)
+    return long(files.read_matrix(spark, path, points.count(), 2))
+
+
+@query(_part_sql(STEPS, " UNION ALL ".join(f"SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, {j} AS f, round(u{j}, 6) + 0.0 AS v FROM u{STEPS}" for j in range(C))))
+def membership_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Memberships written with six decimals and read again, as a lenient matrix."""
+    points, result = fit_part(spark, sf)
+    u, path = fcm.result_membership(points, result), _scratch(spark)
+    files.write_membership(u.coalesce(1), path)
+    read = files.read_matrix(spark, path, points.count(), C, "compat")
+    return read.select("row_id", F.posexplode("x").alias("f", "v")).select("row_id", "f", clean_zero(F.col("v")).alias("v"))
+
+
+@query(_part_sql(STEPS, " UNION ALL ".join(f"SELECT {j} AS row_id, {f} AS f, round(c{j}_{f}, 6) + 0.0 AS v FROM c{STEPS}" for j in range(C) for f in range(2))))
+def centroid_csv(spark: SparkSession, sf: str) -> DataFrame:
+    _, result = fit_part(spark, sf)
+    path = _scratch(spark)
+    files.write_centroids(spark, result.centroids, path)
+    read = files.load_points(spark, "csv", path, C, 2)
+    return read.select("row_id", F.posexplode("x").alias("f", "v")).select("row_id", "f", clean_zero(F.col("v")).alias("v"))
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, text, source AS category FROM documents WHERE length(text) >= 100")
+def corpus_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as a CSV with header, quotes and line breaks, and read again as a corpus."""
+    docs, path = kept_docs(spark, sf).orderBy("doc_id").select("text", "source"), _scratch(spark)
+    docs.coalesce(1).write.csv(path, header=True, quoteAll=True, escape='"')
+    return files.read_corpus(spark, path, "text", "source")
+
+
+@query(f"WITH {_TERMS} SELECT feature_index, feature_name FROM vc")
+def vocabulary_csv(spark: SparkSession, sf: str) -> DataFrame:
+    path = _scratch(spark)
+    files.write_vocabulary(tfidf.tfidf(kept_docs(spark, sf))[1].coalesce(1), path)
+    return spark.read.csv(path, header=True, schema="feature_index int, feature_name string")
+
+
+@query("SELECT source AS category, count(*) AS n FROM documents GROUP BY source")
+def category_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's category written in the documents' order, read again and counted."""
+    path = _scratch(spark)
+    files.write_categories(read_table(spark, sf, "documents").select("doc_id", F.col("source").alias("category")), path)
+    return spark.read.csv(path, header=True, schema="category string").groupBy("category").agg(F.count("*").alias("n"))
+
+
 # --- generator --------------------------------------------------------------------------------------------------------
 
 _N, _F = 400, 50

@@ -4,23 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from cumulo.sources.synthetic import bands
 
-_NUMBER_PREFIX = r"^[ \t]*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
+_NUMBER_PREFIX = r"^[ \t\n\x0b\f\r]*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
+_NAMED_PREFIX = r"(?i)^[ \t\n\x0b\f\r]*([+-]?)(inf|nan)"
+_HEX_PREFIX = r"(?i)^[ \t\n\x0b\f\r]*([+-]?)0x([0-9a-f]{1,15})"
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """The rows with contiguous numbers from 0 in their order, partition after partition. All of it stays in the JVM.
+
+    A row's number is its place in its partition plus the rows of earlier ones: a number per partition, which the driver adds up.
+    """
+    at = rows.withColumn(name, F.monotonically_increasing_id())
+    partition, place = F.shiftright(F.col(name), 33), F.col(name).bitwiseAND(F.lit((1 << 33) - 1))
+    before, starts = 0, []
+    for k, n in sorted((r["k"], r["n"]) for r in at.groupBy(partition.alias("k")).agg(F.count("*").alias("n")).collect()):
+        starts.append((k, before))
+        before += n
+    table = rows.sparkSession.createDataFrame(starts, "cumulo_part bigint, cumulo_start bigint")
+    joined = at.join(F.broadcast(table), partition == F.col("cumulo_part"))
+    return joined.withColumn(name, place + F.col("cumulo_start")).select(name, *[c for c in rows.columns])
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(row_id, value): the lines of text files with contiguous numbers from 0."""
-    schema = StructType([StructField("value", spark.read.text(path).schema["value"].dataType), StructField("row_id", LongType(), False)])
-    return spark.createDataFrame(spark.read.text(path).rdd.zipWithIndex().map(lambda r: (r[0][0], r[1])), schema).select("row_id", "value")
+    return numbered(spark.read.text(path), "row_id")
 
 
 def _leading_number(c: Column) -> Column:
-    """A number at the start of the text, else 0."""
-    found = F.regexp_extract(c, _NUMBER_PREFIX, 1)
-    return F.when(found == "", F.lit(0.0)).otherwise(found.cast("double"))
+    """A number at the start of the text, else 0: decimal, hexadecimal without a fraction, inf or nan in any case."""
+    found, named, hexed = F.regexp_extract(c, _NUMBER_PREFIX, 1), F.lower(F.regexp_extract(c, _NAMED_PREFIX, 2)), F.regexp_extract(c, _HEX_PREFIX, 2)
+    minus = lambda p: F.when(F.regexp_extract(c, p, 1) == "-", F.lit(-1.0)).otherwise(F.lit(1.0))
+    decimal = F.when(found == "", F.lit(0.0)).otherwise(F.when(found != "", found).cast("double"))
+    whole = F.when(hexed != "", F.conv(F.when(hexed != "", hexed), 16, 10).cast("double") * minus(_HEX_PREFIX))
+    return F.when(named == "inf", minus(_NAMED_PREFIX) * F.lit(float("inf"))).when(named == "nan", F.lit(float("nan"))).otherwise(F.coalesce(whole, decimal))
 
 
 def read_matrix(spark: SparkSession, path: str, n: int, features: int, mode: str = "strict") -> DataFrame:
@@ -53,8 +72,7 @@ def read_corpus(spark: SparkSession, path: str, text: str = "transcription", cat
     """docs(doc_id, text, category) from a CSV with header; quoted fields can hold line breaks."""
     df = spark.read.csv(path, header=True, multiLine=True, escape='"')
     rows = df.select(F.col(text).alias("text"), F.col(category).alias("category"))
-    schema = StructType([StructField("doc_id", LongType(), False), *rows.schema.fields])
-    return spark.createDataFrame(rows.rdd.zipWithIndex().map(lambda r: (r[1], *r[0])), schema)
+    return numbered(rows, "doc_id")
 
 
 def load_points(spark: SparkSession, source: str = "synthetic", path: str | None = None, n: int = 400, features: int = 50, clusters: int = 4, seed: int = 42, mode: str = "strict") -> DataFrame:
@@ -73,9 +91,12 @@ def fixed(c: Column, digits: int = 6) -> Column:
     return F.format_string(f"%.{digits}f", F.when(F.round(c, digits) == 0, F.lit(0.0)).otherwise(c))
 
 
-def write_rows(df: DataFrame, column: str, path: str, order: str = "row_id") -> None:
-    """One headerless CSV line per row from an array of doubles, in row order across the files (part numbers ascend)."""
-    line = F.array_join(F.transform(column, lambda v: fixed(v)), ",")
+def write_rows(df: DataFrame, column: str, path: str, order: str = "row_id", digits: int | None = 6) -> None:
+    """One headerless CSV line per row from an array of doubles, in row order across the files (part numbers ascend).
+
+    digits: decimals; None writes each number in the shortest form that reads back as the same number.
+    """
+    line = F.array_join(F.transform(column, lambda v: v.cast("string") if digits is None else fixed(v, digits)), ",")
     df.orderBy(order).select(line.alias("value")).write.mode("overwrite").text(path)
 
 
@@ -93,8 +114,8 @@ def write_centroids(spark: SparkSession, centroids: list[list[float]], path: str
     write_rows(rows.coalesce(1), "x", path)
 
 
-def write_features(points: DataFrame, path: str) -> None:
-    write_rows(points, "x", path)
+def write_features(points: DataFrame, path: str, digits: int | None = 6) -> None:
+    write_rows(points, "x", path, digits=digits)
 
 
 def write_vocabulary(vocabulary: DataFrame, path: str) -> None:
