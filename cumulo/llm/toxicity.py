@@ -46,29 +46,43 @@ _LOOKALIKES = {
 _ORDINARY = set("áàâéèêëíîïóôúùûüñçäöß")
 _FOLD = {ord(c): latin for latin, others in _LOOKALIKES.items() for c in others if (c not in _ORDINARY or c in "ï") and not c.isascii()}
 _DIGITS = {ord(c): latin for latin, others in _LOOKALIKES.items() for c in others if c.isascii()}
-_DISGUISED = re.compile(r"[\w@$!|]*[0-9@$!|][\w@$!|]*")
+_FOLDED = re.compile("[" + "".join(re.escape(chr(c)) for c in _FOLD) + "]")
+_DISGUISE = re.compile(r"[0-9@$!|]+")
 _SIGNS = re.compile(r"(?<=[^\W_])[$!|](?=[^\W_])")
 _SIGN = {"$": "s", "!": "i", "|": "l"}
 _UNSEEN = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]")
+_COMBINING = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
 _WORD = re.compile(r"\w+")
 
 
-def _undisguised(m: re.Match) -> str:
-    """A word's digits and signs as letters, if it has a letter."""
-    word = m[0]
-    if not any(c.isalpha() for c in word):
-        return word
-    return _SIGNS.sub(lambda s: _SIGN[s[0]], word.translate(_DIGITS))
+def _undisguised(text: str) -> str:
+    """Digits and signs as letters, in words that have a letter; only the words around them are looked at."""
+    out, done, n = [], 0, len(text)
+    for m in _DISGUISE.finditer(text):
+        start, end = m.span()
+        if start < done:
+            continue
+        while start > done and (text[start - 1].isalnum() or text[start - 1] in "_@$!|"):
+            start -= 1
+        while end < n and (text[end].isalnum() or text[end] in "_@$!|"):
+            end += 1
+        word = text[start:end]
+        if not word.isdigit() and any(map(str.isalpha, word)):
+            word = _SIGNS.sub(lambda s: _SIGN[s[0]], word.translate(_DIGITS))
+        out += [text[done:start], word]
+        done = end
+    return "".join([*out, text[done:]]) if out else text
 
 
 def fold(text: str) -> str:
     t = text.lower()
     if not t.isascii():
-        t = unicodedata.normalize("NFC", _UNSEEN.sub("", t))
-        if any(map(unicodedata.combining, t)):
-            t = "".join(c for c in t if not unicodedata.combining(c))
-        t = t.translate(_FOLD)
-    return _DISGUISED.sub(_undisguised, t)
+        t = _UNSEEN.sub("", t)
+        if _COMBINING.search(t):
+            t = _COMBINING.sub("", unicodedata.normalize("NFC", t))
+        if _FOLDED.search(t):
+            t = t.translate(_FOLD)
+    return _undisguised(t)
 
 
 @dataclass(frozen=True)
