@@ -326,7 +326,10 @@ def _keys(fps: DataFrame, parts: list[tuple[list[int], int, int]], fp: str) -> D
 
 
 def pairs(fps: DataFrame, tau: int = TAU, chosen: list[tuple[list[int], int]] | None = None) -> DataFrame:
-    """(a, b), a < b: the pairs of distinct fingerprints that differ in at most tau bits, each once."""
+    """(a, b), a < b: the pairs of distinct fingerprints that differ in at most tau bits, each once.
+
+    Spark takes the keys for as small as the fingerprints that they are exploded from; unless it is told to merge, it sends them to the driver to broadcast them.
+    """
     chosen = plan(fps, tau) if chosen is None else chosen
     probed = [(bits, tag, t) for (bits, t), tag in zip(chosen, _tags([bits for bits, _ in chosen])) if t >= 0]
     first, earlier = [], []
@@ -341,7 +344,7 @@ def pairs(fps: DataFrame, tau: int = TAU, chosen: list[tuple[list[int], int]] |
         if own:
             left = _keys(fps, [(bits, tag, t // 2) for bits, tag, t in own], "a")
             right = _keys(fps, [(bits, tag, t - t // 2) for bits, tag, t in own], "b")
-            met = left.join(right, "key").where(near).select("a", "b")
+            met = left.hint("merge").join(right.hint("merge"), "key").where(near).select("a", "b")
             found = met if found is None else found.unionByName(met)
     return found
 

@@ -593,6 +593,15 @@ def test_simhash_keys_of_two_partitions_never_meet():
             assert not tags[i] & simhash._mask(parts[i])
 
 
+def test_simhash_keys_are_never_broadcast(spark):
+    values = near_values(500, 6)
+    fps = spark.createDataFrame([(v,) for v in values], "fp bigint").groupBy("fp").agg(F.count("*").alias("n")).select("fp")
+    found = simhash.pairs(fps, simhash.TAU, list(zip(simhash.partitions_of(list(range(64)), 3), (2, 1, 3))))
+    assert len(found.collect()) > 400
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_simhash_even_thresholds_write_their_keys_once(spark):
     fps = spark.createDataFrame([(v,) for v in near_values(20, 5)], "fp bigint").checkpoint()
     chosen = list(zip(simhash.partitions_of(list(range(64)), 3), (2, 2, 2)))
