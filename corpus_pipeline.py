@@ -6,7 +6,7 @@ last adds token_ids, under a longer name where the input has one so named.
 
     quality    documents the classifier rejects go (and documents without text)
     dedup      one document of each near-duplicate group stays; repeated rows of a document are one
-    secrets    secrets are replaced by [SECRET:rule]
+    secrets    texts that the ledger of scans lacks are scanned; secrets are replaced by [SECRET:rule]
     mix        rows are repeated or dropped so that the expected tokens meet TARGETS; no document that is clean first of all is dropped
     tokenize   byte-pair ids are added
 
@@ -39,8 +39,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.deduplicate(docs)
 
 
+def secret_ledger(spark: SparkSession) -> secrets.Store:
+    """Kept in the shared folder for the session: a later run scans only the texts and rule versions that earlier ones haven't met."""
+    return secrets.Store(spark, f"{shared_dir(spark)}/corpus-secret-ledger")
+
+
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redact(docs)
+    return secrets.redact_scanned(docs, secret_ledger(spark))
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ what it found in the same rows, and a scan that is lost midway leaves nothing be
 A match holds one of its rule's literals, so a text without any literal is settled without being moved: only its blob id is
 shuffled, and the few texts that hold one are scanned once per blob.
 
-redact() replaces the places of the secrets in a single pass over the rows. Places that overlap are one, named for the longest.
+redact() replaces the places of the secrets in a single pass over the rows; redact_scanned() does the same by a store's ledger, so that
+a blob is scanned once. Places that overlap are one, named for the longest.
 
 Defined cases: a null text is no version and is skipped; an empty text is a blob without findings; a null path id
 is carried as null; repeated rows are paths of their own, so a repeated row repeats its findings; an empty table
@@ -30,6 +31,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cumulo.llm.common import fresh
 from cumulo.session import cut, shared_dir
 
 
@@ -146,12 +148,16 @@ class Store:
                 return None
             raise
 
-    def scan(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text") -> DataFrame:
-        """Scans what the ledger lacks, writes it, and returns the findings of all paths of docs under these rules."""
+    def settle(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+        """Scans what the ledger lacks, writes it, and returns the findings by blob of all scans under these rules."""
         before = self.scans()
         blobs = unseen(docs, None if before is None else ledger_entries(before), rules, text)
         scanned(blobs, rules).write.mode("append").parquet(self.folder)
-        return paths(docs, path, text).join(_current(findings(self.scans()), rules), "blob")
+        return _current(findings(self.scans()), rules)
+
+    def scan(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text") -> DataFrame:
+        """settle(), and the findings of all paths of docs under these rules."""
+        return paths(docs, path, text).join(self.settle(docs, rules, text), "blob")
 
 
 def scan_incremental(
@@ -221,11 +227,34 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
         for texts in batches:
             yield pd.Series([None if t is None else redacted(t, compiled) for t in texts], dtype=object)
 
-    names = {c.lower() for c in docs.columns}
-    new = "cumulo_redacted"
-    while new in names:
-        new += "_"
-    out = docs.withColumn(new, replaced(F.when(_holds(text, rules), F.col(text))))
+    return _rewritten(docs, replaced(F.when(_holds(text, rules), F.col(text))), text, length)
+
+
+def redact_scanned(docs: DataFrame, store: Store, rules: tuple[Rule, ...] = RULES, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """redact() by the store's ledger: only what the ledger lacks is scanned, and a text meets only the rules that found something in its blob.
+
+    The scan is written at once. Rows whose text holds a literal are joined with their blob's findings; the others pass and never move.
+    """
+    patterns = [(r.name, r.pattern) for r in rules]
+
+    @F.pandas_udf("string")
+    def replaced(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        compiled = [(name, re.compile(p, re.ASCII)) for name, p in patterns]
+        for texts, found in batches:
+            yield pd.Series([None if t is None else redacted(t, [c for c in compiled if c[0] in names]) for t, names in zip(texts, found)], dtype=object)
+
+    blob, found = fresh(docs, "cumulo_blob"), fresh(docs, "cumulo_found")
+    by_blob = store.settle(docs, rules, text).groupBy(F.col("blob").alias(blob)).agg(F.collect_set("rule").alias(found))
+    holds = F.coalesce(_holds(text, rules), F.lit(False))
+    joined = docs.where(holds).withColumn(blob, blob_id(text)).join(by_blob, blob, "left")
+    clean = _rewritten(joined, replaced(F.when(F.col(found).isNotNull(), F.col(text)), F.col(found)), text, length)
+    return clean.select(*docs.columns).union(docs.where(~holds))
+
+
+def _rewritten(docs: DataFrame, replaced: Column, text: str, length: str) -> DataFrame:
+    """docs with the replaced text where that isn't null, and with its length where it differs."""
+    new = fresh(docs, "cumulo_redacted")
+    out = docs.withColumn(new, replaced)
     changed = F.col(new).isNotNull() & (F.col(new) != F.col(text))
     if length in docs.columns:
         out = out.withColumn(length, F.when(changed, F.length(new).cast(docs.schema[length].dataType)).otherwise(F.col(length)))

@@ -97,6 +97,19 @@ def test_secrets_are_replaced_in_their_places_only(spark):
     assert clean == ["https://u:[SECRET:uri_password]@h.org the passage passes; password", 'token = "[SECRET:assigned_credential]" SECRET', "jwt [SECRET:web_token] end", 'secret: "[SECRET:assigned_credential]"']
 
 
+def test_redaction_by_the_ledger_scans_each_blob_once(spark, edges, no_docs, tmp_path):
+    store = secrets.Store(spark, str(tmp_path / "ledger"))
+    clashing = edges.withColumns({"cumulo_blob": F.lit("b"), "cumulo_found": F.lit("f"), "blob_id": F.lit(1)})
+    entries = lambda: secrets.ledger_entries(store.scans()).count()
+    for docs in (no_docs, clashing.where("doc_id < 5"), clashing, clashing):
+        got = secrets.redact_scanned(docs, store)
+        assert got.columns == docs.columns and sorted(map(str, got.collect())) == sorted(map(str, secrets.redact(docs).collect()))
+        assert entries() == docs.select("text").where("text IS NOT NULL").distinct().count() * len(secrets.RULES)
+    two = f"see https://u:{KEY}@h.org and {TOKEN}"
+    got = secrets.redact_scanned(spark.createDataFrame([(1, two), (2, "nothing"), (3, two), (4, None)], "doc_id bigint, text string"), store)
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect())[::2] == [(i, 'see https://u:[SECRET:aws_access_key]@h.org and token = "[SECRET:assigned_credential]"') for i in (1, 3)]
+
+
 # --- sharding ---
 
 

@@ -107,6 +107,16 @@ def test_stages_return_the_columns_of_documents(stages):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "dedup", "secrets", "mix", "tokenize"]
 
 
+def test_secrets_stage_keeps_a_ledger(spark, stages):
+    settled = lambda: secrets.ledger_entries(corpus_pipeline.secret_ledger(spark).scans())
+    texts = stages[1].select(secrets.blob_id("text").alias("blob")).distinct()
+    assert settled().join(texts, "blob", "left_semi").count() == texts.count() * len(secrets.RULES)
+    before, docs = settled().count(), stages[1]
+    again = corpus_pipeline.hide_secrets(spark, docs.unionByName(docs.limit(1).withColumns({"doc_id": docs.doc_id * 0 - 1, "text": docs.doc_id.cast("string")})), SF)
+    assert again.count() == docs.count() + 1 and settled().count() == before + len(secrets.RULES)
+    assert sorted(map(str, again.where("doc_id >= 0").collect())) == sorted(map(str, stages[2].collect()))
+
+
 def test_run_gives_the_last_stage(spark, stages):
     got = corpus_pipeline.run(spark, SF)
     assert sorted(map(str, got.collect())) == sorted(map(str, stages[4].collect()))
