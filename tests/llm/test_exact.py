@@ -615,6 +615,14 @@ def test_simhash_keys_are_never_broadcast(spark):
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
 
 
+def test_simhash_candidates_of_short_and_long_texts_join_keys_by_sorting(spark):
+    rows = [(i, [v] * simhash.WORDS, 20 if i % 2 else simhash.SKETCH) for i, v in enumerate(near_values(100, 8))]
+    found = simhash.candidate_nodes(spark.createDataFrame(rows, "node bigint, words array<bigint>, runs int"))
+    assert len(found.collect()) > 50
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [key#" in plan and "BroadcastHashJoin [key#" not in plan
+
+
 def test_simhash_even_thresholds_write_their_keys_once(spark):
     fps = spark.createDataFrame([(v,) for v in near_values(20, 5)], "fp bigint").checkpoint()
     chosen = list(zip(simhash.partitions_of(list(range(64)), 3), (2, 2, 2)))
