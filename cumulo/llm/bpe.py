@@ -2,11 +2,12 @@
 
 Two neighbouring bytes that stand together inside no token of the vocabulary can never be merged across, whatever
 the merges before. Each such pair in a text is therefore a certain cut: the fragments between the cuts are encoded
-independently, each distinct fragment once per worker, and their ids are concatenated. The result is exactly the
+independently, distinct fragments seldom more than once per task, and their ids are concatenated. The result is exactly the
 tokenizer's own, including its splitting pattern, because a cut is used only where the pattern's view of the rest doesn't depend on what
 stands before it (not after white space, not before an apostrophe, not inside a character).
 
 Decoding puts the tokens' bytes together. The vocabulary file is needed on the driver alone, which sends it to the workers.
+A worker holds a slice of its batch's results at once, and at the end of a task only the vocabulary.
 
 Defined cases: a null text has null ids, an empty one no ids; ids can be null or repeated, each row has its own
 result; other columns are ignored by encode() and kept by add_tokens(); empty tables give empty results.
@@ -22,17 +23,18 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cumulo.llm.common import fresh, ship, shipped, slices
+from cumulo.llm.common import fresh, let_go, ship, shipped, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public splitting pattern of this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Distinct fragments in each of the two generations that a worker remembers; the older one is then dropped, so that memory stays bounded.
-REMEMBERED = 300_000
+#: Distinct fragments in each of the two generations that a worker remembers during a task; the older one is then dropped, so that memory stays bounded.
+REMEMBERED = 150_000
 _WHITE_LAST = np.zeros(256, bool)
 _WHITE_LAST[list(b" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f")] = True
 #: Last bytes of white space outside ASCII; a cut after any byte that can end one isn't used.
@@ -137,6 +139,11 @@ class Codec:
             self.before, self.known = known, {}
         return np.array(ids, np.int32)
 
+    def forget(self) -> None:
+        """Drops the remembered fragments; the worker may go on to stages that don't need them."""
+        self.known, self.before = {}, {}
+        let_go()
+
     def decode(self, ids: np.ndarray | list[int]) -> str:
         return b"".join(map(self.tokens.__getitem__, ids if isinstance(ids, list) else ids.tolist())).decode("utf-8", "replace")
 
@@ -150,11 +157,14 @@ def encode_column(spark: SparkSession, path: str = VOCABULARY):
     """path: the vocabulary on the driver; it is sent to the workers."""
     name = ship(spark, path)
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(shipped(name))
-        for texts in batches:
-            yield pd.Series([None if t is None else own.encode(t) for t in texts], dtype=object)
+        try:
+            for texts in slices(batches):
+                yield pa.array([None if t is None else own.encode(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
+        finally:
+            own.forget()
 
     return encode
 
@@ -183,6 +193,12 @@ def round_trip(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     def both(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(shipped(name))
+        try:
+            yield from rows(own, batches)
+        finally:
+            own.forget()
+
+    def rows(own: Codec, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in slices(batches):
             ids = [None if t is None else own.encode(t) for t in b["text"]]
             back = [None if i is None else own.decode(i) == t for i, t in zip(ids, b["text"])]

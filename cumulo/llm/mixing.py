@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from cumulo.llm.common import fresh
+from cumulo.llm.common import fresh, let_go, slices
 from cumulo.llm.quality import labelled
 from cumulo.session import cut
 
@@ -127,7 +127,9 @@ def posteriors(model: Posterior, texts: list[str | None]) -> np.ndarray:
 def fit(docs: DataFrame, domain_labels: DataFrame, n_domains: int, max_rows: int = MAX_ROWS) -> Posterior:
     """domain_labels: (doc_id, domain), domain from 0."""
     rows = labelled(docs, domain_labels.where(F.col("domain").between(0, n_domains - 1)), "domain", max_rows)
-    return train(rows["text"].tolist(), rows["cumulo_label"].tolist(), n_domains)
+    model = train(rows["text"].tolist(), rows["cumulo_label"].tolist(), n_domains)
+    let_go()
+    return model
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -141,10 +143,13 @@ def _membership(model: Posterior):
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def membership(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            rows = texts.tolist()
-            n = np.array([len(t.split()) if t else 0 for t in rows], float)
-            yield pd.Series(list(np.column_stack([n, posteriors(model, rows).round(6)])))
+        try:
+            for texts in slices(batches):
+                rows = texts.tolist()
+                n = np.array([len(t.split()) if t else 0 for t in rows], float)
+                yield pd.Series(list(np.column_stack([n, posteriors(model, rows).round(6)])))
+        finally:
+            let_go()
 
     return membership
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cumulo.llm.common import BATCH_ROWS, fresh
+from cumulo.llm.common import fresh, let_go, slices
 
 STRIDE, BLOCKS, HALF = 4, 3, 128
 WINDOW = STRIDE * BLOCKS
@@ -205,14 +205,19 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> Net:
     rows = labelled(docs, labels, label, max_rows)
-    return train(rows["text"].tolist(), rows["cumulo_label"].tolist())
+    net = train(rows["text"].tolist(), rows["cumulo_label"].tolist())
+    let_go()
+    return net
 
 
 def score_column(net: Net):
     @F.pandas_udf("double")
     def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(np.concatenate([np.zeros(0), *[predict(net, texts[s : s + BATCH_ROWS].tolist()) for s in range(0, len(texts), BATCH_ROWS)]]))
+        try:
+            for texts in slices(batches):
+                yield pd.Series(predict(net, texts.tolist()))
+        finally:
+            let_go()
 
     return probability
 

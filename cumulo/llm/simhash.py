@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, MapType, StructField, StructType
 
-from cumulo.llm.common import BATCH_ROWS, fresh
+from cumulo.llm.common import fresh, let_go, slices
 from cumulo.llm.parsing import mix
 from cumulo.session import cut, written
 
@@ -114,9 +114,12 @@ def fingerprints_of(texts: list[str | None]) -> list[int | None]:
 
 @F.pandas_udf(StructType([StructField("words", ArrayType(LongType())), StructField("sketch", ArrayType(IntegerType()))]))
 def _print(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for texts in batches:
-        found = [p for s in range(0, len(texts), BATCH_ROWS) for p in prints_of(texts[s : s + BATCH_ROWS].tolist())]
-        yield pd.DataFrame({"words": pd.Series([p and p[0] for p in found], dtype=object), "sketch": pd.Series([p and p[1] for p in found], dtype=object)})
+    try:
+        for texts in slices(batches):
+            found = prints_of(texts.tolist())
+            yield pd.DataFrame({"words": pd.Series([p and p[0] for p in found], dtype=object), "sketch": pd.Series([p and p[1] for p in found], dtype=object)})
+    finally:
+        let_go()
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cumulo.llm import bpe, chat, parsing, secrets, sharding, simhash, topk
+from cumulo.llm.common import BATCH_ROWS
 
 # --- secrets ---
 
@@ -427,6 +428,21 @@ def test_bpe_forgets_without_changing_results(monkeypatch):
     assert [own.encode(t).tolist() for t in texts] == [bpe.codec(bpe.VOCABULARY).encode(t).tolist() for t in texts]
 
 
+def test_bpe_workers_hold_a_slice_at_once_and_no_fragments_after_a_task(spark):
+    import pyarrow as pa
+
+    texts = [f"some words and number {i}" for i in range(1000)] + [None]
+    encode, own = bpe.encode_column(spark).func, bpe.codec(bpe.shipped(bpe.VOCABULARY.rsplit("/", 1)[-1]))
+    got = list(encode(iter([pa.array(texts)])))
+    assert max(len(g) for g in got) == BATCH_ROWS and not own.known and not own.before
+    assert [i for g in got for i in g.to_pylist()] == [None if t is None else own.encode(t).tolist() for t in texts]
+    part = encode(iter([pa.array(texts)]))
+    next(part)
+    assert own.known
+    part.close()
+    assert not own.known
+
+
 def test_bpe_edges(edges, no_docs):
     rows = {r["doc_id"]: r for r in bpe.round_trip(edges).collect()}
     assert rows[2]["token_ids"] is None and rows[2]["n_tokens"] is None and rows[3]["n_tokens"] == 0 and all(r["decodes"] for k, r in rows.items() if k in range(10) and k != 2)
