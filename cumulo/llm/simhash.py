@@ -136,7 +136,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _bit_counts(words: DataFrame, count: int) -> tuple[int, np.ndarray]:
-    """The number of rows, and for each SimHash and each two bits how many have both: 64 x 64 sums for each, whatever the input."""
+    """The number of rows, and for each SimHash and each two bits how many have both. The sums are added up where the rows are, so the driver gets as many whatever the input."""
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, both = 0, np.zeros((count, BITS, BITS))
@@ -146,12 +146,14 @@ def _bit_counts(words: DataFrame, count: int) -> tuple[int, np.ndarray]:
                     x = _bits(v[:, k]).astype(np.float32)
                     both[k] += x.T @ x
                 n += len(v)
-        yield pd.DataFrame({"n": [n], "both": [both.ravel()]})
-
-    n, both = 0, np.zeros(count * BITS * BITS)
-    for r in words.select("words").mapInPandas(local, "n bigint, both array<double>").collect():
-        n, both = n + r["n"], both + np.array(r["both"])
-    return n, both.reshape(count, BITS, BITS)
+        sums = np.append(both.ravel(), n).astype(np.int64)
+        at = np.flatnonzero(sums)
+        yield pd.DataFrame({"at": at, "n": sums[at]})
+
+    found = np.zeros(count * BITS * BITS + 1)
+    rows = words.select("words").mapInPandas(local, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    found[rows["at"]] = rows["n"]
+    return int(found[-1]), found[:-1].reshape(count, BITS, BITS)
 
 
 def _columns(words: pd.Series, count: int) -> Iterator[np.ndarray]:

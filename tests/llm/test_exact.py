@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from cumulo.llm import bpe, chat, parsing, secrets, sharding, simhash, topk
 from cumulo.llm.common import BATCH_ROWS
@@ -651,6 +652,22 @@ def test_simhash_even_thresholds_write_their_keys_once(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_simhash_plan_sends_the_driver_as_much_from_many_partitions_as_from_few(spark, monkeypatch):
+    values = near_values(500, 6)
+    sent = []
+    for name in ("collect", "toPandas"):
+        own = getattr(DataFrame, name)
+        monkeypatch.setattr(DataFrame, name, lambda self, own=own: (sent.append(rows := own(self)), rows)[1])
+    counts = []
+    for parts in (2, 24):
+        sent.clear()
+        n, both = simhash._bit_counts(spark.createDataFrame([([v, v],) for v in values], "words array<bigint>").repartition(parts), 2)
+        bits = simhash._bits(np.array(values, np.int64)).astype(int)
+        assert n == len(values) and all((both[k] == bits.T @ bits).all() for k in range(2))
+        counts.append(sum(len(rows) for rows in sent))
+    assert counts[0] == counts[1] > 0
+
+
 def test_simhash_words():
     assert simhash.WORD.findall("Ein Satz, zwei") == ["Ein", "Satz", "zwei"] and simhash.WORD.findall("漢字 abc漢") == ["漢", "字", "abc", "漢"]
     one, other = simhash.prints_of(["dog bites man", "man bites dog"])
