@@ -193,6 +193,12 @@ def test_silhouette_far_from_the_origin_and_in_many_groups(spark, monkeypatch):
     assert "REPARTITION_BY_NUM, [plan_id" in totals._jdf.queryExecution().executedPlan().toString() and totals.count() == 60
 
 
+def test_silhouette_wants_ids_and_labels(spark):
+    for ids, labels in (([0, 0], [1, 2]), ([0, 1], [1, None])):
+        with pytest.raises(ValueError):
+            metrics.silhouette_samples(table(spark, [[1], [2]], labels).withColumn("row_id", F.when(F.col("row_id") == 1, F.lit(ids[1])).otherwise(F.lit(ids[0]))))
+
+
 def test_davies_bouldin(spark):
     points = table(spark, [[0, 0], [0, 2], [10, 0], [10, 4]], [0, 0, 1, 1])
     assert metrics.davies_bouldin(points, [[0.0, 1.0], [10.0, 2.0], [99.0, 99.0]]) == pytest.approx(3 / math.sqrt(101))
