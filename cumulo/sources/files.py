@@ -12,20 +12,24 @@ _NAMED_PREFIX = r"(?i)^[ \t\n\x0b\f\r]*([+-]?)(inf|nan)"
 _HEX_PREFIX = r"(?i)^[ \t\n\x0b\f\r]*([+-]?)0x([0-9a-f]{1,15})"
 
 
-def numbered(rows: DataFrame, name: str) -> DataFrame:
+def numbered(rows: DataFrame, name: str, file: Column | None = None) -> DataFrame:
     """The rows with contiguous numbers from 0 in their order, partition after partition. All of it stays in the JVM.
 
     A row's number is its place in its partition plus the rows of earlier ones: a number per partition, which the driver adds up.
+    file: the names of the files that the rows come from, where each file is read as a whole. Then files go by name, as Spark spreads them by size.
     """
     at = rows.withColumn(name, F.monotonically_increasing_id())
-    partition, place = F.shiftright(F.col(name), 33), F.col(name).bitwiseAND(F.lit((1 << 33) - 1))
+    if file is not None:
+        at = at.withColumn("cumulo_file", file)
+    part = F.shiftright(F.col(name), 33) if file is None else F.col("cumulo_file")
+    found = at.groupBy(part.alias("k")).agg(F.count("*").alias("n"), F.min(name).alias("first")).collect()
     before, starts = 0, []
-    for k, n in sorted((r["k"], r["n"]) for r in at.groupBy(partition.alias("k")).agg(F.count("*").alias("n")).collect()):
-        starts.append((k, before))
-        before += n
-    table = rows.sparkSession.createDataFrame(starts, "cumulo_part bigint, cumulo_start bigint")
-    joined = at.join(F.broadcast(table), partition == F.col("cumulo_part"))
-    return joined.withColumn(name, place + F.col("cumulo_start")).select(name, *[c for c in rows.columns])
+    for r in sorted(found, key=lambda r: r["k"]):
+        starts.append((r["k"], before - r["first"]))
+        before += r["n"]
+    table = rows.sparkSession.createDataFrame(starts, f"cumulo_part {'bigint' if file is None else 'string'}, cumulo_start bigint")
+    joined = at.join(F.broadcast(table), part == F.col("cumulo_part"))
+    return joined.withColumn(name, F.col(name) + F.col("cumulo_start")).select(name, *[c for c in rows.columns])
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -69,10 +73,13 @@ def read_matrix(spark: SparkSession, path: str, n: int, features: int, mode: str
 
 
 def read_corpus(spark: SparkSession, path: str, text: str = "transcription", category: str = "medical_specialty") -> DataFrame:
-    """docs(doc_id, text, category) from a CSV with header; quoted fields can hold line breaks."""
+    """docs(doc_id, text, category) from a CSV with header, or a folder of them in the order of their names; quoted fields can hold line breaks.
+
+    Because of those a file is read by one task, so a large corpus should come in several.
+    """
     df = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    rows = df.select(F.col(text).alias("text"), F.col(category).alias("category"))
-    return numbered(rows, "doc_id")
+    rows = df.select(F.col(text).alias("text"), F.col(category).alias("category"), F.col("_metadata.file_path").alias("cumulo_file"))
+    return numbered(rows, "doc_id", F.col("cumulo_file")).drop("cumulo_file")
 
 
 def load_points(spark: SparkSession, source: str = "synthetic", path: str | None = None, n: int = 400, features: int = 50, clusters: int = 4, seed: int = 42, mode: str = "strict") -> DataFrame:
