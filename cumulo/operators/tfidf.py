@@ -117,11 +117,14 @@ def ngram_counts(docs: DataFrame, settings: Settings) -> DataFrame:
     return split.mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def term_stats(terms: DataFrame) -> DataFrame:
-    """(term, df, ctf) of bags: documents with the term, and its occurrences. Each part is counted before it leaves Python, so that only terms are shuffled."""
+def term_stats(terms: DataFrame, ngrams: tuple[int, int] = (1, 1)) -> DataFrame:
+    """(term, df, ctf) of bags: documents with the term, and its occurrences. Each part is counted before it leaves Python, so that only terms are shuffled.
+
+    ngrams: of bags that have only tokens so far; formed here, they need no Python workers of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found, of in _parts(batches):
+        for _, found, of in _parts(batches if ngrams == (1, 1) else _with_ngrams(*ngrams)(batches)):
             coded = found.dictionary_encode()
             code, n = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
             df, ctf = np.bincount(np.unique(of * n + code) % n, minlength=n) if n else code, np.bincount(code, minlength=n)
@@ -131,12 +134,12 @@ def term_stats(terms: DataFrame) -> DataFrame:
     return parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("ctf").alias("ctf"))
 
 
-def vocabulary(terms: DataFrame, n_docs: int, settings: Settings) -> DataFrame:
+def vocabulary(terms: DataFrame, n_docs: int, settings: Settings, ngrams: tuple[int, int] = (1, 1)) -> DataFrame:
     """(feature_index, feature_name, df): the most frequent terms within the limits (equal ones by name), numbered by name.
 
     It has at most max_features rows, which are fetched: what uses them doesn't read the documents again.
     """
-    kept = term_stats(terms).where((F.col("df") >= settings.min_df) & (F.col("df") <= F.lit(settings.max_df * n_docs)))
+    kept = term_stats(terms, ngrams).where((F.col("df") >= settings.min_df) & (F.col("df") <= F.lit(settings.max_df * n_docs)))
     top = kept.orderBy(F.desc("ctf"), "term").limit(settings.max_features).select("term", "df").orderBy("term").collect()
     rows = [(i, r["term"], r["df"]) for i, r in enumerate(top)]
     return terms.sparkSession.createDataFrame(rows, "feature_index int, feature_name string, df bigint")
@@ -181,7 +184,10 @@ def features(docs: DataFrame, settings: Settings = PLAIN) -> tuple[DataFrame, Da
     """(bags, vocabulary, number) of docs(doc_id, text)."""
     n_docs, together = repeats(docs)
     terms = bags(docs, settings, together)
-    return terms, vocabulary(terms, n_docs, settings), n_docs
+    if together:
+        return terms, vocabulary(terms, n_docs, settings), n_docs
+    split = docs.select("doc_id", tokens(F.col("text"), settings).alias("terms"))
+    return terms, vocabulary(split, n_docs, settings, settings.ngrams), n_docs
 
 
 def tfidf(docs: DataFrame, settings: Settings = PLAIN) -> tuple[DataFrame, DataFrame]:
