@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cumulo.functions.text import pieces, words
+from cumulo.functions.text import ngram_range, pieces, words
 
 #: Documents counted at once.
 ROWS = 256
@@ -104,17 +104,9 @@ def _with_ngrams(low: int, high: int) -> Callable[[Iterator[pa.RecordBatch]], It
 
 
 def ngram_counts(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(term, n): the n-grams of all documents. Each part is counted before it leaves Python."""
-    low, high = settings.ngrams
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, terms, of in _parts(batches):
-            for n in range(low, high + 1):
-                counts = _joined(terms, of, n)[0].value_counts()
-                yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], names=["term", "n"])
-
-    split = docs.select("doc_id", tokens(F.col("text"), settings).alias("terms"))
-    return split.mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    """(term, n): the n-grams of all documents. The tokens are a projection of their own: inside the n-grams' loop the text would be split anew for each place."""
+    split = docs.select(tokens(F.col("text"), settings).alias("tokens"))
+    return split.select(F.explode(ngram_range(F.col("tokens"), *settings.ngrams)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
 def term_stats(terms: DataFrame, ngrams: tuple[int, int] = (1, 1)) -> DataFrame:
